@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,15 @@ def local_session(cores: int = 8, app: str = "cladeworks") -> SparkSession:
     )
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Let the session's Python workers find this package where it lies, from whatever folder the driver was started."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH")) if x)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return it with a short lineage.
 
