@@ -51,8 +51,13 @@ class Cost:
         self.codes = dict(zip(leaves, grid, strict=True))
         self.use(tree)
 
-    def use(self, tree: Tree) -> None:
-        self.tree, self.kept = tree, {}
+    def use(self, tree: Tree, kept: dict | None = None, changed: tuple = ()) -> None:
+        """Go on with another tree; kept are results for it that hold except at and above the changed nodes."""
+        self.tree, self.kept = tree, dict(kept or {})
+        for i in changed:
+            while i >= 0:
+                self.kept.pop(i, None)
+                i = tree.parent[i]
 
     def set_blen(self, i: int, b: float) -> None:
         self.tree.blen[i] = b

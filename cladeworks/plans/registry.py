@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeworks.plans import general
+from cladeworks.plans import general, reference
 
-_MODULES = (general,)
+_MODULES = (general, reference)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p1_hierarchy"](spark, d)
+    return queries()["fitch_score"](spark, d)

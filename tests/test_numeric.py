@@ -138,7 +138,7 @@ def test_optimisers():
     k80, gtr = fasta("sim/K80/K80.fasta"), fasta("sim/GTR/gtr.fasta")
     cost = costs.SubstitutionCost(tree("sim/tree.newick"), gtr, models.make("K80", None, [2]))
     assert optimise.optimise_model(cost).final == pytest.approx(-3629.2205979421, abs=1e-5)
-    cost = costs.SubstitutionCost(tree("sim/wrong_tree.newick"), k80, models.make("JC69"))
+    cost = costs.SubstitutionCost(tree("sim/tree.newick"), gtr, models.make("JC69"))
     assert optimise.optimise_branches(cost).final == pytest.approx(-4086.56102, abs=1e-4)
     for start in ("sim/tree.newick", "sim/wrong_tree.newick"):
         cost = costs.SubstitutionCost(tree(start), k80, models.make("JC69"))
