@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeworks.functions.alphabet import BY_NAME, GAP
+from cladeworks.session import shuffle_width
 from cladeworks.tables import family_facts
 
 BLOCK = 256
@@ -115,12 +116,13 @@ def pair_distances(rows: DataFrame, salts: int = 16) -> DataFrame:
     that the pairs of one large tree are made by many tasks.
     """
     a = rows.select("tree_id", F.col("seq_id").alias("a"), F.col("residues").alias("ra"), F.pmod(F.xxhash64("seq_id"), F.lit(salts)).alias("s"))
+    a = a.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession)), "tree_id", "s")  # few bytes, much work
     b = rows.select("tree_id", F.col("seq_id").alias("b"), F.col("residues").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
     pairs = a.join(b, ["tree_id", "s"]).where("a < b")
     edits = F.levenshtein("ra", "rb")
     longest = F.greatest(F.length("ra"), F.length("rb"))
     share = F.least(F.when(longest > 0, edits / longest).otherwise(0.0), F.lit(0.75) - F.lit(2.220446049250313e-16))
-    return pairs.select("tree_id", "a", "b", edits.cast("long").alias("edits"), (F.lit(-0.75) * F.log(1 - F.lit(4 / 3) * share)).alias("distance"))
+    return pairs.select("tree_id", "a", "b", edits.cast("long").alias("edits"), (F.lit(-0.75) * F.log(1 - F.lit(4 / 3) * share) + 0.0).alias("distance"))
 
 
 def row_sums(distances: DataFrame) -> DataFrame:

@@ -307,7 +307,7 @@ pair AS MATERIALIZED (
   FROM lv x JOIN lv y ON x.tree_id = y.tree_id AND x.seq_id < y.seq_id),
 dist AS MATERIALIZED (
   SELECT tree_id, a, b, edits, -0.75::DOUBLE * ln(1 - (4.0::DOUBLE / 3) * least(CASE WHEN longest > 0 THEN edits::DOUBLE / longest ELSE 0 END,
-    0.75::DOUBLE - 2.220446049250313e-16::DOUBLE)) AS distance FROM pair),
+    0.75::DOUBLE - 2.220446049250313e-16::DOUBLE)) + 0.0::DOUBLE AS distance FROM pair),
 sums AS MATERIALIZED (SELECT tree_id, name, count(*) AS others, sum(distance) AS total FROM (
   SELECT tree_id, a AS name, distance FROM dist UNION ALL SELECT tree_id, b, distance FROM dist) GROUP BY tree_id, name),
 crit AS (SELECT d.tree_id, d.a, d.b, (s.others - 1) * distance - s.total - t.total AS q FROM dist d
