@@ -48,6 +48,7 @@ def csv_fields(text: str) -> list[str]:
         assemble(text)
         free = iter([c for c in _STAND_INS if c not in text])
         cr, lf = next(free), next(free)
+        csv.field_size_limit(sys.maxsize)  # texts are parsed whole
         shown = text.replace("\r", cr).replace("\n", lf)
         row = next(csv.reader([shown], strict=True), [])
     except csv.Error as e:
@@ -116,7 +117,6 @@ def load_records(raw: DataFrame, raw_id: str = "raw_id", layout: str = "layout",
     out_schema = pa.schema(list(zip(names, kinds, strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        csv.field_size_limit(sys.maxsize)
         for b in batches:
             rows = [parse(k, t) for k, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             cols = [b.column(0).cast(pa.int64())]
