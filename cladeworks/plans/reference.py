@@ -13,6 +13,7 @@ from cladeworks.operators import tree_ops as to
 from cladeworks.plans.general import _FORCE
 from cladeworks.session import table
 from cladeworks.sources import tree_files
+from cladeworks.streaming import symbol_windows as sw
 from cladeworks.tables import family_facts, nodes_in_force, one_per_name, sequences_in_force
 
 TIMES = (0.05, 0.1, 0.3, 0.5, 0.7)
@@ -252,7 +253,13 @@ def parsimony_search(spark, d):
     return fc.optimised(_families(spark, d), "parsimony", rounds=1)
 
 
+def stream_symbol_windows(spark, d):
+    found = sw.run_to_end(spark, sw.symbol_windows(sw.stream_table(spark, d, "sequences")))
+    return found.withColumn("begins", F.unix_seconds("begins"))
+
+
 _FUNCTIONS = (
+    stream_symbol_windows,
     fasta_normalise, family_alphabets, gapless, gap_columns, remove_gap_columns, align_map, align_map_roundtrip, symbol_counts,
     empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, rf_to_nj,
     tree_checks, tree_facts, blen_percentiles, leaf_descendants, partitions, spr_moves, traversals, newick_roundtrip, nearest_time,
@@ -375,6 +382,9 @@ _JC69 = _upward(
 )
 
 ORACLES = {
+    "stream_symbol_windows": """WITH c AS (SELECT loaded_at, unnest(string_split(translate(upper(residues), '_*-', ''), '')) AS symbol FROM sequences WHERE loaded_at IS NOT NULL)
+      SELECT CAST(floor(epoch_us(loaded_at)::DOUBLE / 2592000000000) AS BIGINT) * 2592000 AS begins, symbol, count(*) AS letters
+      FROM c WHERE symbol <> '' GROUP BY ALL""",
     "fasta_normalise": f"WITH {_SEQ} SELECT record_id, seq_id, residues FROM seq",
     "family_alphabets": f"WITH {_SEQ}, {_FACTS} SELECT family_id, records, aligned, alphabet FROM facts",
     "gapless": f"WITH {_SEQ} SELECT record_id, replace(residues, '-', '') AS residues FROM seq",
