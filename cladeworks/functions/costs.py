@@ -47,6 +47,8 @@ class Cost:
         missing, extra = sorted(set(leaves) - set(rows)), sorted(set(rows) - set(leaves))
         if missing or extra:
             raise ValueError(f"leaves without sequences: {missing}" if missing else f"sequences without leaves: {extra}")
+        if not all(alphabet.is_word(rows[x]) for x in leaves):
+            raise ValueError(f"letters that are not of the {alphabet.name} alphabet")
         grid, self.weights, self.columns = site_patterns([rows[x] for x in leaves])
         self.codes = dict(zip(leaves, grid, strict=True))
         self.use(tree)

@@ -306,6 +306,25 @@ def neighbour_joining(distance: np.ndarray, labels: list[str]) -> Tree:
     return Tree(parent, children, blen, list(labels) + [""] * (total - n), total - 1)
 
 
+def node_maps(tree: Tree, rows: dict[str, str]) -> dict[int, tuple[list, list]]:
+    """For each inner node the maps of its two children into the node's own columns: positions, null where the child has
+    only gaps. A node's columns are those in which any leaf below it has a residue."""
+    there: dict[int, np.ndarray] = {}
+    out = {}
+    for i in tree.postorder():
+        if not tree.children[i]:
+            there[i] = np.array([c != "-" for c in rows[tree.label[i]]], bool)
+        else:
+            x, y = (there.pop(k) for k in tree.children[i])
+            own = x | y
+            maps = []
+            for side in (x, y):
+                place = np.cumsum(side) - 1
+                maps.append([int(place[k]) if side[k] else None for k in np.flatnonzero(own)])
+            out[i], there[i] = tuple(maps), own
+    return out
+
+
 def levenshtein(a: str, b: str) -> int:
     """Unit-cost edit distance, one numpy row at a time."""
     if not a or not b:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import costs, indel_align, models, optimise, treelib
 from cladeworks.functions.alphabet import BY_NAME
+from cladeworks.operators.hierarchy import hierarchy
+from cladeworks.operators.sequence_ops import drop_gap_columns
 from cladeworks.operators.tree_ops import links_of, tree_rows
 from cladeworks.tables import family_facts, one_per_name
 
@@ -120,7 +122,7 @@ def whole_families(seqs: DataFrame, current: DataFrame) -> DataFrame:
 
 def per_family(families: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Rows of fn(tree, rows, alphabet) for every family with a binary tree, families spread evenly over tasks."""
-    names = [x.split()[0] for x in schema.split(",")]
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -137,6 +139,27 @@ def per_family(families: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return families.select("tree_id", "alphabet", "rows", "nodes").repartition(width, "tree_id").mapInPandas(run, schema)
 
 
+def subtree_alignments(seqs: DataFrame, nodes: DataFrame, current: DataFrame) -> DataFrame:
+    """(tree_id, node_id, seq_id, residues): for both children of each aligned family's root the rows of the leaves below
+    it, without the columns that are gaps in all of them."""
+    fit = matched(seqs, current).where("aligned and longest > 0").select("tree_id")
+    paths = hierarchy(nodes).where("cycle_node is null and levels >= 2").join(fit, "tree_id").select("tree_id", "node_id", F.col("path")[1].alias("below"))
+    leaves = current.join(current.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
+    named = leaves.join(paths, ["tree_id", "node_id"]).select("tree_id", F.col("below").alias("node_id"), F.col("label").alias("seq_id"))
+    rows = named.join(leaves_with_records(seqs, current).select("tree_id", "seq_id", "residues").distinct(), ["tree_id", "seq_id"])
+    keyed = rows.withColumn("family_id", F.concat_ws("/", "tree_id", F.col("node_id").cast("string")))
+    return drop_gap_columns(keyed).select("tree_id", "node_id", "seq_id", "residues")
+
+
+def node_maps(families: DataFrame) -> DataFrame:
+    """(tree_id, place, map_x, map_y) of each inner node of the aligned families, nodes by their place in order of node_id."""
+
+    def fn(tree, rows, alphabet):
+        return [(i, x, y) for i, (x, y) in sorted(treelib.node_maps(tree, rows).items())]
+
+    return per_family(families.where("aligned"), fn, "tree_id string, place int, map_x array<int>, map_y array<int>")
+
+
 def aligned_rows(families: DataFrame, gap_open: float = 2.5, gap_ext: float = 0.5) -> DataFrame:
     """(tree_id, seq_id, residues, columns, score): the indel-aware progressive alignment of each family on its tree."""
 

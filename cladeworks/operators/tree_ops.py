@@ -100,6 +100,22 @@ def leaf_descendants(nodes: DataFrame, current: DataFrame) -> DataFrame:
     return paths.join(leaves, ["tree_id", "node_id"]).select("tree_id", F.col("above").alias("node_id"), "label")
 
 
+def relations(current: DataFrame) -> DataFrame:
+    """(tree_id, node_id, parent, sibling, children): neighbours of every node; a parent that is not there is null, as is
+    the sibling of a node without exactly one."""
+    there = current.select("tree_id", F.col("node_id").alias("parent_id"))
+    own = current.select("tree_id", "node_id", "parent_id").join(there.withColumn("ok", F.lit(True)), ["tree_id", "parent_id"], "left")
+    up = own.select("tree_id", "node_id", F.when(F.col("ok"), F.col("parent_id")).alias("parent"))
+    kids = up.where("parent is not null").groupBy("tree_id", "parent").agg(
+        F.count(F.lit(1)).alias("n"), F.min("node_id").alias("lo"), F.max("node_id").alias("hi")
+    )
+    mine = kids.select("tree_id", F.col("parent").alias("node_id"), F.col("n").alias("children"))
+    beside = up.join(kids, ["tree_id", "parent"], "left").select(
+        "tree_id", "node_id", "parent", F.when(F.col("n") == 2, F.when(F.col("lo") == F.col("node_id"), F.col("hi")).otherwise(F.col("lo"))).alias("sibling")
+    )
+    return beside.join(mine, ["tree_id", "node_id"], "left").withColumn("children", F.coalesce("children", F.lit(0)).cast("long"))
+
+
 def partitions(trees: DataFrame) -> DataFrame:
     """(tree_id, side, leaves): both sides of each branch's split, sorted labels joined by commas, in the order found."""
     fn = lambda t: [(i, ",".join(sorted(s))) for i, s in enumerate(treelib.partitions(t))]

@@ -253,13 +253,25 @@ def parsimony_search(spark, d):
     return fc.optimised(_families(spark, d), "parsimony", rounds=1)
 
 
+def node_relations(spark, d):
+    return to.relations(_nodes(spark, d))
+
+
+def subtree_alignments(spark, d):
+    return fc.subtree_alignments(_seqs(spark, d), table(spark, d, "nodes"), _nodes(spark, d))
+
+
+def node_maps(spark, d):
+    return fc.node_maps(_families(spark, d))
+
+
 def stream_symbol_windows(spark, d):
     found = sw.run_to_end(spark, sw.symbol_windows(sw.stream_table(spark, d, "sequences")))
     return found.withColumn("begins", F.unix_seconds("begins"))
 
 
 _FUNCTIONS = (
-    stream_symbol_windows,
+    stream_symbol_windows, node_relations, subtree_alignments, node_maps,
     fasta_normalise, family_alphabets, gapless, gap_columns, remove_gap_columns, align_map, align_map_roundtrip, symbol_counts,
     empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, rf_to_nj,
     tree_checks, tree_facts, blen_percentiles, leaf_descendants, partitions, spr_moves, traversals, newick_roundtrip, nearest_time,
@@ -382,6 +394,20 @@ _JC69 = _upward(
 )
 
 ORACLES = {
+    "node_relations": f"""WITH RECURSIVE {_TREES}, k AS (SELECT tree_id, up, count(*) AS n FROM link WHERE up IS NOT NULL GROUP BY tree_id, up)
+      SELECT l.tree_id, l.node_id, l.up AS parent, CASE WHEN k.n = 2 THEN s.node_id END AS sibling, coalesce(c.n, 0) AS children
+      FROM link l LEFT JOIN k ON k.tree_id = l.tree_id AND k.up = l.up LEFT JOIN k c ON c.tree_id = l.tree_id AND c.up = l.node_id
+      LEFT JOIN link s ON k.n = 2 AND s.tree_id = l.tree_id AND s.up = l.up AND s.node_id <> l.node_id""",
+    "subtree_alignments": f"""WITH RECURSIVE {_TREES}, fit AS MATERIALIZED (
+        SELECT tree_id FROM tip GROUP BY tree_id HAVING bool_and(residues IS NOT NULL) AND min(length(residues)) = max(length(residues)) AND max(length(residues)) > 0
+        AND (bool_and(regexp_matches(residues, '{DNA_WORD}')) OR bool_and(regexp_matches(residues, '{PROTEIN_WORD}')))),
+      r AS MATERIALIZED (SELECT DISTINCT w.tree_id, w.path[2] AS node_id, t.node_id AS leaf, t.seq_id, t.residues FROM tip t SEMI JOIN fit USING (tree_id)
+        JOIN way w USING (tree_id, node_id) LEFT JOIN lost USING (tree_id, node_id) WHERE lost.node_id IS NULL AND w.levels >= 2),
+      s AS (SELECT tree_id, node_id, leaf, seq_id, i::INT AS col, substr(residues, i::INT, 1) AS ch FROM (SELECT *, unnest(range(1, length(residues) + 1)) AS i FROM r)),
+      g AS (SELECT tree_id, node_id, col FROM s GROUP BY ALL HAVING bool_or(ch <> '-'))
+      SELECT tree_id, node_id, seq_id, string_agg(ch, '' ORDER BY col) AS residues FROM s SEMI JOIN g USING (tree_id, node_id, col) GROUP BY tree_id, node_id, leaf, seq_id
+      UNION ALL SELECT tree_id, node_id, seq_id, '' FROM r WHERE NOT regexp_matches(residues, '[^-]')
+        AND NOT EXISTS (SELECT 1 FROM g WHERE g.tree_id = r.tree_id AND g.node_id = r.node_id)""",
     "stream_symbol_windows": """WITH c AS (SELECT loaded_at, unnest(string_split(translate(upper(residues), '_*-', ''), '')) AS symbol FROM sequences WHERE loaded_at IS NOT NULL)
       SELECT CAST(floor(epoch_us(loaded_at)::DOUBLE / 2592000000000) AS BIGINT) * 2592000 AS begins, symbol, count(*) AS letters
       FROM c WHERE symbol <> '' GROUP BY ALL""",
