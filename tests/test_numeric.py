@@ -157,3 +157,39 @@ def test_scoring_table():
     assert sc.at(0.0) == 0 and sc.at(9) == 3
     assert [sc.avg(t) for t in (0.1, 0.3, 0.5, 0.7)] == pytest.approx([5.7675, 4.7475, 4.2825, 4.0075])
     assert PROTEIN.n == 20
+
+
+@needs_data
+def test_indel_model_optimum():
+    rows, t = fasta("pip/arpip/msa.fasta"), tree("pip/arpip/tree.nwk")
+    cost = costs.IndelCost(t, rows, models.make("PIP-GTR", [0.25] * 4, [0.1, 0.1, 1, 1, 1, 1, 1, 1]))
+    got = optimise.optimise_model(cost, "empirical", list(rows.values()))
+    assert got.initial == pytest.approx(-212.3260420492571, abs=1e-6)
+    assert got.final == pytest.approx(-161.70972212811094, abs=1e-5)
+    rows, t = fasta("Huelsenbeck_example_long_DNA.fasta"), tree("Huelsenbeck_example.newick")
+    got = optimise.optimise_model(costs.IndelCost(t, rows, models.make("PIP-HKY", [0.25] * 4, [1.2, 0.45, 1.0])))
+    assert got.initial == pytest.approx(-361.18634412281443, abs=1e-7)
+    assert got.final == pytest.approx(-227.0848511231626, abs=1e-5)
+
+
+@needs_data
+def test_indel_initial():
+    rows, t = fasta("pip/propip/msa.initial.fasta"), tree("pip/propip/tree.nwk")
+    cost = costs.IndelCost(t, rows, models.make("PIP-GTR", [0.25] * 4, [14.1421, 0.1414, 1, 1, 1, 1, 1, 1]))
+    assert cost.cost() == pytest.approx(-1241.99424826303, abs=1e-8)
+
+
+@needs_data
+def test_topology_from_both_starts():
+    rows = fasta("sim/K80/K80.fasta")
+    names = sorted(rows)
+    d = np.array([[treelib.corrected_distance(treelib.levenshtein(rows[a], rows[b]), 1000) for b in names] for a in names])
+    for start in (tree("sim/tree.newick"), treelib.neighbour_joining(d, names)):
+        got = optimise.optimise_topology(costs.SubstitutionCost(start, rows, models.make("K80", None, [4.0])))
+        assert got.final == pytest.approx(-4060.91964, abs=1e-5)
+
+
+def test_single_leaf():
+    t = treelib.parse_newick("(A:0.3);")[0]
+    assert costs.SubstitutionCost(t, {"A": "ACGT"}, models.make("JC69")).cost() == pytest.approx(4 * np.log(0.25))
+    assert costs.FitchCost(t, {"A": "ACGT"}, DNA).cost() == 0
