@@ -171,3 +171,15 @@ def test_empty_tables(spark):
     assert tf.term_frequencies(none).count() == 0
     spans, recs = ss.shared_spans(none)
     assert spans.count() == 0 and ss.shared_share(spans, recs).count() == 0
+
+
+def test_hot_anchor_is_refined(spark):
+    """Records that share one low-complexity stretch only are not paired through it."""
+    rng = random.Random(9)
+    texts = ["A" * 40 + "".join(rng.choice("CGT") for _ in range(90)) for _ in range(60)]
+    texts += [texts[0][:-3] + "C", texts[1] + "G"]
+    recs = dict(enumerate(texts))
+    reps = spark.createDataFrame(list(recs.items()), "rep long, letters string")
+    assert {tuple(r) for r in nd.candidates(reps, 8).collect()} >= near(recs)
+    assert nd.candidates(reps, 8).count() < 60 * 59 / 4
+    assert {(r.a, r.b) for r in nd.links(reps, run_cap=8).collect()} == near(recs)
