@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.session import cut, stream_groups
 
-MAX_LOCAL = 50_000
+MAX_LOCAL = 200_000
 
 SCHEMA = (
     "tree_id string, node_id int, component int, root int, levels int, blen_sum double, path array<int>, cycle_node int"
