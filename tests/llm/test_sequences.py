@@ -183,3 +183,13 @@ def test_hot_anchor_is_refined(spark):
     assert {tuple(r) for r in nd.candidates(reps, 8).collect()} >= near(recs)
     assert nd.candidates(reps, 8).count() < 60 * 59 / 4
     assert {(r.a, r.b) for r in nd.links(reps, run_cap=8).collect()} == near(recs)
+
+
+def test_hot_variant_loses_no_link(spark):
+    """More than run_cap records whose only common anchor is the hot one are paired all the same."""
+    rng = random.Random(4)
+    texts = ["A" * n for n in range(30, 44)] + ["A" * 30 + "".join(rng.choice("CGT") for _ in range(5)) for _ in range(12)]
+    recs = dict(enumerate(texts))
+    reps = spark.createDataFrame(list(recs.items()), "rep long, letters string")
+    want = near(recs)
+    assert len(want) > 14 * 13 / 2 and {(r.a, r.b) for r in nd.links(reps, run_cap=8).collect()} == want
