@@ -250,7 +250,7 @@ def model_optimise(spark, d):
 
 
 def parsimony_search(spark, d):
-    return fc.optimised(_families(spark, d), "parsimony", rounds=1)
+    return fc.optimised(_families(spark, d), "parsimony")
 
 
 def node_relations(spark, d):

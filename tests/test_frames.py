@@ -111,3 +111,13 @@ def test_runs(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns == ["tree_id", "score", "columns"]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA.replace("sf0.001", "sf0.01")), reason="test tables are not there")
+def test_parsimony_search_goes_on_until_no_gain(spark, tmp_path):
+    """One family of scale 0.01, which one round leaves at -674."""
+    for name, own in (("sequences", "family_id = 'fam00000004'"), ("nodes", "tree_id = 'fam00000004_t0'")):
+        rows = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/{name}.parquet").where(own)
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = [(r.final, r.rounds) for r in entry.queries()["parsimony_search"](spark, str(tmp_path)).collect()]
+    assert got == [(-644.0, 3)]
