@@ -26,15 +26,23 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return h.descendants(h.hierarchy(table(spark, d, "nodes")))
 
 
+def p1_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return h.back_edges(table(spark, d, "nodes"))
+
+
+def p1_child_lists(spark: SparkSession, d: str) -> DataFrame:
+    return h.child_list_problems(table(spark, d, "nodes"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return r.split_valid(r.load_records(table(spark, d, "raw_records")))[1]
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return r.split_valid(r.load_records(table(spark, d, "raw_records")))[0].drop("ord_text")
+    return r.split_valid(r.load_records(table(spark, d, "raw_records")))[0]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p2_found, p2_loaded)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_descendants, p1_back_edges, p1_child_lists, p2_found, p2_loaded)}
 
 _FORCE = """
 force AS MATERIALIZED (
@@ -92,9 +100,20 @@ ORACLES = {
       LEFT JOIN lost ON k.tree_id = lost.tree_id AND k.node_id = lost.node_id""",
     "p1_descendants": f"""WITH RECURSIVE {_FORCE}
       SELECT tree_id, node_id, below_id FROM (SELECT tree_id, unnest(path) AS node_id, node_id AS below_id FROM way)
-      WHERE node_id <> below_id""",
+      WHERE node_id <> below_id UNION ALL SELECT tree_id, cycle_node, node_id FROM lost WHERE node_id <> cycle_node""",
+    "p1_back_edges": f"""WITH RECURSIVE {_FORCE} SELECT l.tree_id, l.up AS from_id, l.node_id AS to_id FROM link l
+      JOIN lost ON lost.tree_id = l.tree_id AND lost.node_id = l.node_id AND lost.cycle_node = l.node_id""",
+    "p1_child_lists": """WITH kept AS MATERIALIZED (
+        SELECT tree_id, node_id, parent_id, children FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id
+          ORDER BY loaded_at DESC NULLS LAST, parent_id DESC NULLS LAST, list_sort(children) DESC NULLS LAST) AS rn
+          FROM nodes WHERE tree_id IS NOT NULL AND node_id IS NOT NULL) WHERE rn = 1),
+      listed AS (SELECT DISTINCT tree_id, node_id, child_id FROM (SELECT tree_id, node_id, unnest(children) AS child_id FROM kept) WHERE child_id IS NOT NULL),
+      linked AS (SELECT k.tree_id, k.parent_id AS node_id, k.node_id AS child_id FROM kept k
+        SEMI JOIN kept p ON p.tree_id = k.tree_id AND p.node_id = k.parent_id)
+      SELECT tree_id, node_id, child_id, 'listed' AS problem FROM (FROM listed EXCEPT FROM linked)
+      UNION ALL SELECT tree_id, node_id, child_id, 'not listed' FROM (FROM linked EXCEPT FROM listed)""",
     "p2_found": f"WITH {_RAW} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
     "p2_loaded": f"""WITH {_RAW} SELECT raw_id, CASE WHEN layout <> 'fasta' THEN c[1] END AS family_id,
-      CASE WHEN layout <> 'fasta' THEN try_cast(o AS BIGINT) END AS ord, id AS seq_id, nullif(c[4], '') AS descr, res AS residues
+      CASE WHEN layout <> 'fasta' THEN try_cast(o AS BIGINT) END AS ord, CASE WHEN layout <> 'fasta' THEN o END AS ord_text, id AS seq_id, nullif(c[4], '') AS descr, res AS residues
       FROM judged WHERE reason IS NULL""",
 }

@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["fitch_score"](spark, d)
+    return queries()["nj_tree"](spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -35,18 +36,35 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in which lineage is cut: the session's ``spark.checkpoint.dir``.
+
+    Only on a single machine (a ``local[n]`` master) may it be unset, and one is made; on a cluster it has to name a folder
+    that all executors see, so that what is written there survives lost executors.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = _made.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cladeworks-"))
+    return folder
+
+
+_made: dict[str, str] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it with a short lineage.
+    """Write df as a table in the shared folder and return the table: its lineage is the files, its size is known.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single machine) is one
-    made; on a cluster it has to be set to a folder that all executors see, so that the data survive lost executors.
+    checkpoint() would do as well but for loops: it hands on the size that the optimiser guesses, which for a join is the
+    product of both sides; from round to round its number of digits doubles. The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cladeworks-")
-        )
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cladeworks-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -5,10 +5,10 @@ from __future__ import annotations
 import csv
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The five fields, the symbols a residue may be, and what is trimmed around fields.
@@ -19,7 +19,6 @@ TRIMMED = " \t\r\n"
 _END = re.compile(r"(?:\r?\n)+\Z")
 _FIELD = re.compile(r'"(?:[^"]|"")*+"|[^",]*+')
 _DIGITS = re.compile(r"[0-9]+\Z")
-_STAND_INS = [chr(0xE000 + i) for i in range(64)]
 
 SCHEMA = "raw_id long, family_id string, ord long, ord_text string, seq_id string, descr string, residues string, reason string"
 
@@ -28,32 +27,83 @@ class Rejected(ValueError):
     """A record that fails; the text is the reason."""
 
 
-def assemble(text: str) -> list[bool]:
-    """Walk a csv record field by field, aware of quotes; tells which fields are quoted. Raises csv.Error on bad quoting."""
-    quoted, at = [], 0
+def assemble(text: str) -> str:
+    """Walk a csv record field by field, aware of quotes, and give it with every field quoted, so that line ends and commas
+    within fields cannot end them. Raises csv.Error on bad quoting."""
+    fields, at = [], 0
     while True:
         m = _FIELD.match(text, at)
         end = m.end()
         if end < len(text) and text[end] != ",":
             raise csv.Error("a quote where none may stand")
-        quoted.append(text.startswith('"', at))
+        fields.append(m[0] if text.startswith('"', at) else f'"{m[0]}"')
         if end == len(text):
-            return quoted
+            return ",".join(fields)
         at = end + 1
 
 
 def csv_fields(text: str) -> list[str]:
     """The fields of one csv record, by Python's strict reader. Line ends inside a record are ordinary characters."""
     try:
-        assemble(text)
-        free = iter([c for c in _STAND_INS if c not in text])
-        cr, lf = next(free), next(free)
         csv.field_size_limit(sys.maxsize)  # texts are parsed whole
-        shown = text.replace("\r", cr).replace("\n", lf)
-        row = next(csv.reader([shown], strict=True), [])
+        return next(csv.reader([assemble(text)], strict=True), [])
     except csv.Error as e:
         raise Rejected("quoting") from e
-    return [x.replace(cr, "\r").replace(lf, "\n") for x in row] or [""]
+
+
+def assemble_lines(lines: Iterable[str]) -> Iterator[str]:
+    """Whole csv records out of the lines of a file: a record goes on as long as a quoted field is open.
+
+    A quote opens a field only where one may begin. A record whose field never ends holds the rest of the lines.
+    """
+    held: list[str] = []
+    inside = False
+    for line in lines:
+        held.append(line)
+        begins, i = not inside, 0
+        while i < len(line):
+            c = line[i]
+            if inside:
+                if c == '"':
+                    if line[i + 1 : i + 2] == '"':
+                        i += 1
+                    else:
+                        inside = False
+                begins = False
+            elif c == '"' and begins:
+                inside = True
+            else:
+                begins = c == ","
+            i += 1
+        if not inside:
+            yield "".join(held)
+            held = []
+    if held:
+        yield "".join(held)
+
+
+def records_of_files(spark: SparkSession, path: str, layout: str) -> DataFrame:
+    """(file_name, place, layout, raw_text) of the records in files of one layout, in the form load_records takes.
+
+    A file is read whole by one task, as only its beginning tells which quotes are open: give many files, not a large one.
+    place counts the records of a file from 0.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lines = text.splitlines(keepends=True) if layout != "csv" else re.findall(r"[^\n]*\n|[^\n]+", text)
+                if layout == "fasta":
+                    found = re.findall(r"(?:>|[^>\n])[^\n]*(?:\n(?!>)[^\n]*)*", text)
+                else:
+                    found = list(assemble_lines(lines)) if layout == "csv" else [x for x in lines if x.strip("\r\n")]
+                n = len(found)
+                yield pa.RecordBatch.from_pydict(
+                    {"file_name": pa.array([name] * n, pa.string()), "place": pa.array(range(n), pa.int64()), "layout": pa.array([layout] * n, pa.string()), "raw_text": pa.array(found, pa.string())}
+                )
+
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("f"), "value")
+    return texts.mapInArrow(run, "file_name string, place long, layout string, raw_text string")
 
 
 def fasta_fields(text: str) -> list[str]:

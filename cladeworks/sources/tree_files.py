@@ -15,10 +15,11 @@ from cladeworks.functions.alphabet import PROTEIN_WORD, normalised
 def read_fasta(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(file, seq_id, descr, residues, error) of the records of FASTA files, residues upper-cased with ``-`` for all gap signs.
 
-    Records are split at ``>``, so one large file is read by many tasks. error is null for valid records, else ``no id``,
+    Records are split where a line begins with ``>``, so one large file is read by many tasks. error is null for valid records, else ``no id``,
     ``not ascii`` or ``invalid sequence``; strict raises at the first such record when the rows are read.
     """
-    raw = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("file"), "value").where(F.trim("value") != "")
+    chunks = spark.read.option("lineSep", "\n>").text(path).select(F.input_file_name().alias("file"), F.regexp_replace("value", "^>", "").alias("value"))
+    raw = chunks.where(F.trim("value") != "")
     head = F.regexp_replace(F.regexp_extract("value", r"^([^\n]*)", 1), r"\r$", "")
     body = normalised(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", ""))
     name, rest = F.regexp_extract(head, r"^(\S*)", 1), F.trim(F.regexp_replace(head, r"^\S*", ""))

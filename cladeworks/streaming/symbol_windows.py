@@ -6,15 +6,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cladeworks.functions.alphabet import GAP, normalised
+from cladeworks.session import shared_folder
 
 
 def symbol_windows(stream: DataFrame, ts: str = "loaded_at", residues: str = "residues", width: str = "30 days", late: str = "365 days") -> DataFrame:
     """(begins, symbol, letters) per tumbling window: letters without gaps, counted per row before they are summed.
 
-    Works alike on a stream and on a table. Rows without a time or letters count nowhere; rows later than ``late`` behind
-    the latest seen are dropped from a stream in append mode.
+    Works alike on a stream and on a table. Rows without a time or letters count nowhere; a stream drops rows of windows
+    that ended more than ``late`` before the latest time of earlier batches.
     """
     letters = F.translate(normalised(F.col(residues)), GAP, "")
     timed = stream.select(F.col(ts).cast("timestamp").alias("ts"), letters.alias("r")).where("ts is not null and r <> ''")
@@ -32,15 +34,23 @@ def symbol_windows(stream: DataFrame, ts: str = "loaded_at", residues: str = "re
 
 
 def run_to_end(spark: SparkSession, windows: DataFrame) -> DataFrame:
-    """Run a stream of windows over what is there now, and return the result table; state lies under spark.checkpoint.dir."""
-    name = f"w{uuid.uuid4().hex}"
-    writer = windows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True)
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        writer = writer.option("checkpointLocation", f"{folder}/{name}")
-    query = writer.start()
+    """Run a stream of windows over what is there now; the result is a table in the shared folder.
+
+    Update mode: windows are dropped from the state once the watermark has passed them, and each batch writes the windows
+    it changed, under its own number, so that a batch done twice counts once. The last state of a window is its result.
+    """
+    folder = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    query = (
+        windows.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    )
     query.awaitTermination()
-    return spark.table(name)
+    schema = T.StructType([*windows.schema.fields, T.StructField("batch", T.LongType())])
+    last = spark.read.schema(schema).parquet(f"{folder}/out").groupBy("begins", "symbol").agg(F.max(F.struct("batch", "letters")).alias("v"))
+    return last.select("begins", "symbol", "v.letters")
 
 
 def stream_table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -54,9 +54,9 @@ def test_newick_files(spark, tmp_path):
 
 def test_fasta_files(spark, tmp_path):
     p = tmp_path / "a.fasta"
-    p.write_text(">A first one\r\nac_g\r\nT*\r\n>B\nACGT\n>\nAC\n>C\nA!C\n")
+    p.write_text(">A first>one a>b\r\nac_g\r\nT*\r\n>B\nACGT\n>\nAC\n>C\nA!C\n")
     got = {r.seq_id: (r.descr, r.residues, r.error) for r in tree_files.read_fasta(spark, str(p), strict=False).collect()}
-    assert got["A"] == ("first one", "AC-GT-", None) and got["B"] == (None, "ACGT", None)
+    assert got["A"] == ("first>one a>b", "AC-GT-", None) and got["B"] == (None, "ACGT", None)
     assert got[""][2] == "no id" and got["C"][2] == "invalid sequence"
     with pytest.raises(Exception, match="FASTA"):
         tree_files.read_fasta(spark, str(p)).collect()
@@ -110,7 +110,8 @@ def test_runs(spark, name):
 
 
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["tree_id", "score", "columns"]
+    got = entry.entry(spark)
+    assert got.columns == ["tree_id", "newick", "height"] and got.count() > 0
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA.replace("sf0.001", "sf0.01")), reason="test tables are not there")

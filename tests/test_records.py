@@ -28,6 +28,23 @@ def test_values():
     assert r.parse("csv", f'f,1,s,"{"x" * 300_000}",{long}')["residues"] == long
 
 
+def test_private_letters():
+    """Any letter may stand in a text, all private-use ones at once too."""
+    odd = "".join(map(chr, range(0xE000, 0xF900)))
+    assert r.parse("csv", f'f,1,s,"{odd}\n\r",A')["descr"] == odd + "\n\r"
+
+
+def test_assembly(spark, tmp_path):
+    text = 'f,1,s,"a\nb ""q""",AC\r\nf,2,t,d"x,GT\nf,3,u,"open,A\nlast'
+    assert list(r.assemble_lines(text.splitlines(keepends=True))) == ['f,1,s,"a\nb ""q""",AC\r\n', 'f,2,t,d"x,GT\n', 'f,3,u,"open,A\nlast']
+    (tmp_path / "a.csv").write_text(text, newline="")
+    raw = r.records_of_files(spark, str(tmp_path / "a.csv"), "csv").withColumnRenamed("place", "raw_id")
+    assert {(x.raw_id, x.reason) for x in r.load_records(raw).collect()} == {(0, None), (1, "quoting"), (2, "quoting")}
+    (tmp_path / "a.fasta").write_text(">s a>b\nAC\nGT\n>t\n")
+    raw = r.records_of_files(spark, str(tmp_path / "a.fasta"), "fasta").withColumnRenamed("place", "raw_id")
+    assert [(x.seq_id, x.descr, x.residues) for x in r.load_records(raw).collect()] == [("s", "a>b", "ACGT"), ("t", None, "")]
+
+
 def test_table(spark):
     rows = [(i, k, t, "clash") for i, (k, t, _) in enumerate(CASES)]
     raw = spark.createDataFrame(rows + rows[:1], "raw_id long, layout string, raw_text string, reason string")
