@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.session import cut
 
+SALTS = 16
 CHUNK = 1 << 20  # letters handled at once in numpy; a longer record is handled alone
 
 
@@ -37,10 +38,13 @@ def classes(recs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     rep is the smallest record_id of a text. Equal texts are folded before the shuffle, so that a text that makes up a
     third of all rows is one row afterwards.
     """
-    long = recs.where(F.length("letters") >= least).withColumn("h", F.xxhash64("letters", F.lit(1)))
-    reps = cut(long.groupBy("h", "letters").agg(F.min("record_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    many = reps.where("copies > 1").select(F.col("h").alias("h2"), F.col("letters").alias("t2"), "rep")
-    joined = long.join(many, (F.col("h") == F.col("h2")) & (F.col("letters") == F.col("t2")), "left")
+    long = recs.where(F.length("letters") >= least).withColumns({"h": F.xxhash64("letters", F.lit(1)), "h2": F.xxhash64("letters", F.lit(2))})
+    reps = cut(long.groupBy("h", "h2", "letters").agg(F.min("record_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    # only keys of 128 bits are joined, and copies of one text are dealt to SALTS tasks
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(SALTS)).cast("int")
+    many = reps.where("copies > 1").select(F.col("h").alias("k"), F.col("h2").alias("k2"), "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    keyed = long.select("record_id", "h", "h2", salt.alias("salt"))
+    joined = keyed.join(many, (F.col("h") == F.col("k")) & (F.col("h2") == F.col("k2")) & (F.col("salt") == F.col("s")), "left")
     return reps.select("rep", "letters", "copies"), joined.select("record_id", F.coalesce("rep", "record_id").alias("rep"))
 
 
@@ -76,24 +80,3 @@ def stretch_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * np.uint64(0x100000001B3) + padded[i : i + n] + np.uint64(1)
     return mix(h)
-
-
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label) of all ends of the links, label being the smallest node of the connected component.
-
-    Labels spread to neighbours and jump along labels by turns, each round cut from its lineage; nothing is collected
-    but whether a round changed anything.
-    """
-    both = cut(
-        links.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(links.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    )
-    labels = cut(both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        spread = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", F.least("label", "near").alias("l2"), F.col("label").alias("old"))
-        far = spread.select(F.col("node").alias("l2"), F.col("l2").alias("l3"))
-        after = cut(spread.join(far, "l2", "left").select("node", F.least("l2", F.coalesce("l3", "l2")).alias("label"), "old"))
-        changed = after.where("label <> old").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels

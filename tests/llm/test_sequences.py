@@ -9,7 +9,7 @@ import pytest
 from cladeworks.llm import near_duplicates as nd
 from cladeworks.llm import shared_spans as ss
 from cladeworks.llm import term_frequencies as tf
-from cladeworks.llm.records import components
+from cladeworks.operators.components import components
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "record_id long, residues string, loaded_at timestamp_ntz, letters string, rep long, key long, term string"
@@ -120,6 +120,33 @@ def test_terms(spark, rows):
     assert got == {t: (occ[t], len(docs[t]), mark(len(docs[t]))) for t in occ}
 
 
+def test_long_record_is_one_record(spark):
+    """A record of more than one piece counts once for each of its terms."""
+    rng = random.Random(6)
+    long = "".join(rng.choice("ACGT") for _ in range(tf.PIECE * 2 + 5000)) + "WWWWW"
+    got = {r.term: (r.occurrences, r.records) for r in tf.term_counts(spark.createDataFrame([(5, long), (4, "ACGTWWWW"), (6, "acÄß")], "record_id long, letters string")).collect()}
+    want = Counter(long[k : k + 4] for k in range(len(long) - 3))
+    assert got["WWWW"] == (3, 2) and got["acÄß"] == (1, 1) and got["ACGT"] == (want["ACGT"] + 1, 2)
+    assert all(got[t] == (n, 1) for t, n in want.items() if t not in ("ACGT", "WWWW"))
+
+
+def test_last_seen():
+    c = tf.LastSeen()
+    for x in ((1, 9, 12, 4), (5, 5, 3, 1), (5, 5, 1, 1), (6, 6, 1, 1)):
+        c.add(*x)
+    assert (c.occurrences, c.records) == (17, 6)
+
+
+@pytest.mark.parametrize("block", [1024, 2])
+def test_copies_are_paired_in_cells(spark, block):
+    members = spark.createDataFrame([(i, i // 7 * 7) for i in range(30)], "record_id long, rep long")
+    links = spark.createDataFrame([(0, 7), (21, 28)], "a long, b long")
+    got = [tuple(r) for r in nd.pairs_of_records(links, members, block).collect()]
+    own = lambda i: i // 7
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if own(a) == own(b) or (own(a), own(b)) in ((0, 1), (3, 4))}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def shared(recs, span):
     owners = defaultdict(set)
     for i, t in recs.items():
@@ -149,6 +176,11 @@ def test_shared_spans(spark, rows, span, shard):
     got = [tuple(r) for r in spans.collect()]
     want = shared(letters(rows), span)
     assert len(got) == len(set(got)) and set(got) == want
+    left = {r.record_id: r.letters for r in ss.without_shared(spans, recs).collect()}
+    gone = defaultdict(set)
+    for i, a, b in want:
+        gone[i] |= set(range(a, b))
+    assert left == {i: "".join(c for k, c in enumerate(t) if k not in gone[i]) for i, t in letters(rows).items()}
     share = {r.record_id: (r.letters, r.shared) for r in ss.shared_share(spans, recs).collect()}
     sums = Counter()
     for i, a, b in want:
