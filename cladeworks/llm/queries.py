@@ -33,6 +33,10 @@ def p5_shared(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.shared_share(*shared_spans.shared_spans(table(spark, d, "sequences")))
 
 
+def p5_removed(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.without_shared(*shared_spans.shared_spans(table(spark, d, "sequences")))
+
+
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "containers"))
 
@@ -60,7 +64,7 @@ def p8_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_shared, p6_pack, p6_fill, p7_found, p7_containment, p8_found, p8_shapes)
+    for f in (p3_found, p3_groups, p4_found, p4_terms, p5_found, p5_shared, p5_removed, p6_pack, p6_fill, p7_found, p7_containment, p8_found, p8_shapes)
 }
 
 _REC = """rec AS MATERIALIZED (
@@ -91,4 +95,7 @@ ORACLES = {
     "p5_found": f"{_SPANS} SELECT record_id, span_from, span_to FROM span",
     "p5_shared": f"""{_SPANS} SELECT rec.record_id, length(rec.x) AS letters, coalesce(sum(span_to - span_from), 0)::BIGINT AS shared
       FROM rec LEFT JOIN span ON rec.record_id = span.record_id GROUP BY rec.record_id, rec.x""",
+    "p5_removed": f"""{_SPANS}, edge AS (SELECT record_id, span_from AS b, coalesce(lag(span_to) OVER (PARTITION BY record_id ORDER BY span_from), 0) AS a FROM span
+        UNION ALL SELECT rec.record_id, length(x), coalesce(max(span_to), 0) FROM rec LEFT JOIN span USING (record_id) GROUP BY ALL)
+      SELECT record_id, string_agg(substr(x, a::INT + 1, (b - a)::INT), '' ORDER BY a) AS letters FROM edge JOIN rec USING (record_id) GROUP BY record_id""",
 }

@@ -123,17 +123,17 @@ def cut_pieces(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, span:
 
 
 def pieces(reps: DataFrame, span: int) -> DataFrame:
+    """(seed, rep, start, n) of all pieces: which shard, and where in which text; the text itself is not moved."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, texts, codes, starts, lengths in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for ids, _, codes, starts, lengths in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rec, seed, begin, end = cut_pieces(codes, starts, lengths, span)
-                begin, end = begin - starts[rec], end - starts[rec]
-                text = [texts[r][i:j] for r, i, j in zip(rec.tolist(), begin.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_pydict(
-                    {"seed": pa.array(seed, pa.int64()), "rep": pa.array(ids[rec], pa.int64()), "start": pa.array(begin, pa.int64()), "text": pa.array(text, pa.string())}
+                    {"seed": pa.array(seed, pa.int64()), "rep": pa.array(ids[rec], pa.int64()), "start": pa.array(begin - starts[rec], pa.int64()), "n": pa.array(end - begin, pa.int64())}
                 )
 
-    return reps.select("rep", "letters").mapInArrow(run, "seed long, rep long, start long, text string")
+    return reps.select("rep", "letters").mapInArrow(run, "seed long, rep long, start long, n long")
 
 
 def _judge(shards: DataFrame, span: int) -> DataFrame:
@@ -196,13 +196,14 @@ def shared_spans(sequences: DataFrame, span: int = SPAN, shard: int = SHARD, **c
     """
     recs = records(sequences, **columns)
     reps, members = classes(recs, span)
-    cutp = cut(pieces(reps, span))
-    different = cut(cutp.groupBy("seed", "text").agg(F.min("rep").alias("low"), F.max("rep").alias("high")))
-    sizes = (
-        different.groupBy("seed").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("n"))
-        .where("l <> h").select(F.col("seed").alias("s"), "n")
-    )
-    live = cut(different.join(sizes, F.col("seed") == F.col("s")).select("seed", "text", "low", "high", "n"))
+    # most shards hold a single text: they are told by their numbers alone, and only what is left fetches its letters
+    seeds = pieces(reps, span).groupBy("seed").agg(F.min("rep").alias("l"), F.max("rep").alias("h")).where("l <> h").select("seed")
+    placed = pieces(reps, span).join(seeds, "seed")
+    cutp = cut(placed.join(reps.select("rep", "letters"), "rep").selectExpr("seed", "rep", "start", "substring(letters, cast(start as int) + 1, cast(n as int)) as text"))
+    different = cutp.groupBy("seed", "text").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
+    counted = cut(different)
+    sizes = counted.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard).select("seed", "n")
+    live = counted.join(sizes, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     judged = _judge(live.where(F.col("n") <= shard), span)
     large = live.where(F.col("n") > shard)
     if large.limit(1).count():
@@ -225,6 +226,15 @@ def shared_spans(sequences: DataFrame, span: int = SPAN, shard: int = SHARD, **c
     return members.join(islands, "rep").select("record_id", "span_from", "span_to"), recs
 
 
+def without_shared(spans: DataFrame, recs: DataFrame) -> DataFrame:
+    """(record_id, letters) of every record with its shared spans taken out; the letters left over close up."""
+    own = spans.groupBy("record_id").agg(F.sort_array(F.collect_list(F.struct("span_from", "span_to"))).alias("s"))  # one record's
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("s", lambda x: x["span_to"].cast("long")))
+    ends = F.concat(F.transform("s", lambda x: x["span_from"].cast("long")), F.array(F.length("letters").cast("long")))
+    kept = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda x: F.substring("letters", x["b"] + 1, x["e"] - x["b"]))
+    return recs.join(own, "record_id", "left").select("record_id", F.when(F.col("s").isNull(), F.col("letters")).otherwise(F.array_join(kept, "")).alias("letters"))
+
+
 def shared_share(spans: DataFrame, recs: DataFrame) -> DataFrame:
     """(record_id, letters, shared) for every record: its number of letters and of shared ones."""
     shared = spans.groupBy("record_id").agg(F.sum(F.col("span_to") - F.col("span_from")).alias("shared"))
