@@ -29,12 +29,13 @@ def patterns(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[l
     k = len(sizes)
     size, need = np.array(sizes), np.array(demand, float)
     basis = np.diag([capacity // s for s in sizes]).astype(float)  # a column is a pattern
-    for _ in range(50 * k):
+    apart = need * (1 + 1e-9 * np.arange(1, k + 1))  # no two ratios tie, so each step lowers the cost and none comes again
+    while True:
         worth = np.linalg.solve(basis.T, np.ones(k))
         new, value = _best_pattern(size, worth, capacity)
         if value <= 1 + 1e-9:
             break
-        x, direction = np.linalg.solve(basis, need), np.linalg.solve(basis, new)
+        x, direction = np.linalg.solve(basis, apart), np.linalg.solve(basis, new)
         ratio = np.where(direction > 1e-9, x / np.where(direction > 1e-9, direction, 1), np.inf)
         basis[:, int(ratio.argmin())] = new
     amount = np.floor(np.linalg.solve(basis, need) + 1e-9).clip(0)
@@ -57,23 +58,24 @@ def patterns(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[l
 
 
 def _best_pattern(size: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, float]:
-    """The pattern of greatest worth, by an unbounded knapsack over the capacity."""
-    best, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = np.flatnonzero(size <= room)
-        if len(fits):
-            value = best[room - size[fits]] + worth[fits]
-            j = int(value.argmax())
-            if value[j] > best[room] + 1e-12:
-                best[room], took[room] = value[j], fits[j]
+    """The pattern of greatest worth: a knapsack by number of items, each step over all rooms at once."""
+    best, steps = np.zeros(capacity + 1), []
+    for _ in range(capacity // int(size.min())):
+        more, took = best.copy(), np.full(capacity + 1, -1)
+        for j, s in enumerate(size.tolist()):
+            value = best[: capacity + 1 - s] + worth[j]
+            better = value > more[s:] + 1e-12
+            more[s:][better], took[s:][better] = value[better], j
+        if (took < 0).all():
+            break
+        steps.append(took)
+        best = more
     new, room = np.zeros(len(size)), capacity
-    while room > 0:
-        if took[room] < 0:
-            room -= 1
-        else:
-            new[took[room]] += 1
-            room -= int(size[took[room]])
+    for took in reversed(steps):
+        j = int(took[room])
+        if j >= 0:
+            new[j] += 1
+            room -= int(size[j])
     return new, float(best[capacity])
 
 
