@@ -1,26 +1,31 @@
-"""Evaluation passages in a corpus, by a prefix-filtered join of word shingles.
-
-A text holds a shingle of ten words only if it holds the shingle's rarest word at the right distance from the shingle's
-ends. Words are ordered by the number of texts they stand in; each shingle's necessary prefix is its rarest word, and only
-that word is joined. The word's place in the shingle gives the one window of the text that can match; windows that would
-leave the text are out, the others are compared word for word.
+"""Evaluation passages in a corpus, by a prefix-filtered set join verified over item-sized windows.
+
+An item is the set of its shingles of ten words. Shingles are ordered by rarity: by the number of texts that their rarest
+word stands in. A text that holds a share of an item's shingles holds at least one of its rarest ones, as many as the
+share leaves over plus one: the item's necessary prefix (all of them where one shingle is enough). Only the rarest words
+of prefix shingles are looked up in the texts. The word's place in the item tells where an item-sized window of the text
+begins (positional bound), texts too short for the share are passed over (length bound), and the window is then compared
+with the item word for word.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeworks.session import broadcast_if_small, cut
+from cladeworks.session import cut
 
 SHINGLE = 10
-BROADCAST_WORDS, BROADCAST_ROWS = 300_000, 500_000
+SEGMENT = 4096  # shingles of an item handled together
+BLOCK = 1_000_000  # words of items broadcast at once; more items are looked up block by block
+BROADCAST_WORDS = 300_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -29,20 +34,25 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text).lower()) if text else []
 
 
-def shingles(items: DataFrame, n: int = SHINGLE, eval_id: str = "eval_id", text: str = "item_text") -> DataFrame:
-    """(eval_id, shingle), each shingle once an item, its words joined by blanks."""
+def segments(items: DataFrame, n: int = SHINGLE, eval_id: str = "eval_id", text: str = "item_text") -> DataFrame:
+    """(item, eval_id, total, begin, words): the items' words in segments of SEGMENT shingles, n - 1 words overlapping.
+
+    item numbers the rows, total is a row's number of shingles; rows with fewer than n words have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = words_of(t)
-                rows += [(i, s) for s in {" ".join(w[k : k + n]) for k in range(len(w) - n + 1)}]
-            cols = list(zip(*rows, strict=True)) if rows else [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["eval_id", "shingle"])
+                total = len(w) - n + 1
+                rows += [(k, i, total, s, w[s : s + SEGMENT + n - 1]) for s in range(0, total, SEGMENT)]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item", "eval_id", "total", "begin", "words"])
 
-    cols = [F.col(eval_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")]
-    return items.where(F.col(eval_id).isNotNull()).select(*cols).mapInArrow(run, "eval_id long, shingle string").distinct()
+    cols = [F.monotonically_increasing_id().alias("k"), F.col(eval_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")]
+    return items.where(F.col(eval_id).isNotNull()).select(*cols).mapInArrow(run, "item long, eval_id long, total long, begin long, words array<string>")
 
 
 def _small_set(df: DataFrame, column: str) -> frozenset[str] | None:
@@ -74,72 +84,95 @@ def word_rarity(docs: DataFrame, wanted: frozenset[str] | None, text: str) -> Da
     return docs.select(F.col(text).cast("string").alias("t")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("texts"))
 
 
-def windows(docs: DataFrame, wanted: frozenset[str] | None, n: int, doc_id: str, text: str) -> DataFrame:
-    """(word, doc_id, before, context): each place of a wanted word with the words up to n - 1 places around it."""
-    by_all = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = by_all.value
-        names = ["word", "doc_id", "before", "context"]
-        kinds = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+def prefix_places(texts: list[int | None], n: int, keep: int) -> list[tuple[int, int]]:
+    """(shingle, place of its rarest word) of the ``keep`` rarest shingles of words that stand in so many texts each.
 
-        def out(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+    Shingles with a word that no text has cannot be found and count as rarest; they are left out.
+    """
+    ranked = []
+    for s in range(len(texts) - n + 1):
+        own = texts[s : s + n]
+        if None in own:
+            ranked.append((-1, s, s))
+        else:
+            least = min(own)
+            ranked.append((least, s, s + own.index(least)))
+    ranked.sort()
+    return [(s, place) for count, s, place in ranked[:keep] if count >= 0]
+
+
+def probe(docs: DataFrame, block: list, n: int, share: float, doc_id: str, text: str) -> DataFrame:
+    """(row, doc_id, item, eval_id, total, start, shared): shingles that each text shares with an item of the block in the
+    item-sized window beginning at word start, segment by segment."""
+    by_all = docs.sparkSession.sparkContext.broadcast(block)
+    schema = "row long, doc_id long, item long, eval_id long, total long, start long, shared long"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table: dict[str, list[tuple[int, int, int]]] = defaultdict(list)  # word: segment, its place, the shingle's place
+        for k, (_, _, total, _, words, counts) in enumerate(by_all.value):
+            spare = total - max(1, math.ceil(share * total - 1e-9))
+            for s, place in prefix_places(counts, n, spare + 1):
+                table[words[place]].append((k, place, s))
         for b in batches:
             rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for row, i, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 w = words_of(t)
                 if len(w) < n:
                     continue
-                for k, x in enumerate(w):
-                    if keep is None or x in keep:
-                        begin = max(0, k - n + 1)
-                        rows.append((x, i, k - begin, w[begin : k + n]))
-                if len(rows) > 5_000:
-                    yield out(rows)
-                    rows = []
-            yield out(rows)
-
-    cols = [F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")]
-    return docs.where(F.col(doc_id).isNotNull()).select(*cols).mapInArrow(run, "word string, doc_id long, before int, context array<string>")
+                met: set[tuple[int, int]] = set()
+                for p, x in enumerate(w):
+                    for k, place, s in table.get(x, ()):
+                        start = p - place
+                        if start + s < 0 or start + s + n > len(w) or (k, start) in met:
+                            continue
+                        item, eval_id, total, begin, words, _ = by_all.value[k]
+                        if len(w) - n + 1 < share * total or w[start + s : start + s + n] != words[s : s + n]:
+                            continue
+                        met.add((k, start))
+                        run_, shared = 0, 0
+                        for j in range(max(0, -start), min(len(words), len(w) - start)):
+                            run_ = run_ + 1 if w[start + j] == words[j] else 0
+                            shared += run_ >= n
+                        rows.append((row, i, item, eval_id, total, start - begin, shared))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in schema.split(", ")])
+
+    cols = [F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")]
+    return docs.where(F.col(doc_id).isNotNull()).select(*cols).mapInArrow(run, schema)
 
 
 def leaks(
-    docs: DataFrame, items: DataFrame, n: int = SHINGLE, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, items: DataFrame, n: int = SHINGLE, share: float = 0.0, doc_id: str = "doc_id", text: str = "text",
     eval_id: str = "eval_id", item_text: str = "item_text",
 ) -> DataFrame:
     """(doc_id, eval_id, shared_shingles, item_shingles, containment) of all texts and items with n consecutive words in common.
 
-    containment is the share of the item's different shingles found in the text. Items and texts of fewer than n words,
-    null and empty ones, and rows without an id have no row. Several rows of one doc_id count as one text's; an item that
-    stands in several rows has the shingles of all. Sides are broadcast only after they were counted: the item words as a
-    set up to BROADCAST_WORDS, the prefix table up to BROADCAST_ROWS; beyond that the same joins are shuffled.
+    containment is the share of the item's shingles that one item-sized window of the text holds at the same places, the
+    best window counting; pairs below ``share`` have no row. Items and texts of fewer than n words, null and empty ones,
+    and rows without an id have no row. Of several rows of one doc_id or eval_id the best pair counts. Items are
+    broadcast in blocks of about BLOCK words, cut into segments, so that no broadcast grows with them; every block is
+    looked up in all texts. Item words are broadcast as a set up to BROADCAST_WORDS, beyond that all words are counted.
     """
-    own = cut(shingles(items, n, eval_id, item_text))
-    different = own.select("shingle").distinct()
-    placed = different.select("shingle", F.posexplode(F.split("shingle", " ")).alias("place", "word"))
+    own = cut(segments(items, n, eval_id, item_text))
+    empty = "doc_id long, eval_id long, shared_shingles long, item_shingles long, containment double"
+    size = own.agg(F.sum(F.size("words"))).first()[0]
+    if not size:
+        return docs.sparkSession.createDataFrame([], empty)
+    placed = own.select("item", "eval_id", "total", "begin", F.posexplode("words").alias("place", "word"))
     rarity = word_rarity(docs, _small_set(placed, "word"), text)
-    first = F.min(F.struct("texts", "word", "place")).alias("p")
-    prefix = cut(
-        placed.join(rarity, "word", "left")
-        .groupBy("shingle")
-        .agg(first, F.count("texts").alias("known"))
-        .where(F.col("known") == n)  # a word that no text holds rules the shingle out
-        .select("shingle", F.col("p.word").alias("word"), F.col("p.place").alias("place"))
-    )
-    seen = windows(docs, _small_set(prefix, "word"), n, doc_id, text)
-    met = seen.join(broadcast_if_small(prefix, BROADCAST_ROWS), "word").where(
-        (F.col("before") >= F.col("place")) & (F.col("before") - F.col("place") + n <= F.size("context"))
-    )
-    same = met.where(F.array_join(F.slice("context", F.col("before") - F.col("place") + 1, n), " ") == F.col("shingle"))
-    found = same.select("doc_id", "shingle").distinct()
-    sizes = own.groupBy("eval_id").agg(F.count(F.lit(1)).alias("item_shingles"))
-    return (
-        found.join(broadcast_if_small(own, BROADCAST_ROWS), "shingle")
-        .groupBy("doc_id", "eval_id")
-        .agg(F.count(F.lit(1)).alias("shared_shingles"))
-        .join(broadcast_if_small(sizes, BROADCAST_ROWS), "eval_id")
-        .select("doc_id", "eval_id", "shared_shingles", "item_shingles", (F.col("shared_shingles") / F.col("item_shingles")).alias("containment"))
-    )
+    keys = ["item", "eval_id", "total", "begin"]
+    ordered = F.sort_array(F.collect_list(F.struct("place", "word", "texts")))  # a segment has at most SEGMENT + n words
+    counted = cut(placed.join(rarity, "word", "left").groupBy(*keys).agg(ordered.alias("w")))
+    blocks = -(-size // BLOCK)
+    found = None
+    for k in range(blocks):
+        part = counted.where(F.pmod(F.xxhash64("item", "begin"), F.lit(blocks)) == k).collect()
+        block = [(r.item, r.eval_id, r.total, r.begin, [x.word for x in r.w], [x.texts for x in r.w]) for r in part]
+        one = probe(docs, block, n, share, doc_id, text)
+        found = one if found is None else found.unionByName(one)
+    windows = found.groupBy("row", "doc_id", "item", "eval_id", "total", "start").agg(F.sum("shared").alias("shared"))
+    best = F.max(F.struct((F.col("shared") / F.col("total")).alias("c"), "shared", "total")).alias("v")
+    out = windows.groupBy("doc_id", "eval_id").agg(best)
+    return out.select(
+        "doc_id", "eval_id", F.col("v.shared").alias("shared_shingles"), F.col("v.total").alias("item_shingles"), F.col("v.c").alias("containment")
+    ).where(F.col("containment") >= share)
