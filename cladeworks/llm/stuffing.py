@@ -1,9 +1,11 @@
-"""Keyword-stuffed, tag-list and link-list texts, by the shapes of their lines.
+"""Keyword-stuffed, tag-list and link-list texts, by the shapes of their lines and what the collection's words do in them.
 
 Links are lifted out of a text first; what is left is cut into lines, and lines at sentence ends. Each piece is reduced to
-a shape: bucketed numbers of words, separators and links, the case of its words, whether it has words that only sentences
-need (articles, pronouns, auxiliaries), and whether its words repeat. A few coarse shapes are not those of sentences; a
-text is flagged if they hold more than half of its words.
+its shape: how many words, capitals, separators, links and repeated words it has, and whether it begins and ends like a
+sentence. Some shapes are lists and some are sentences whatever their words (``sure`` ones); the rest are open. Grouped
+over the whole collection, the sure shapes say of every word how often it stands in lists and how often in sentences, and
+an open piece is a list if its words are mostly list words. No word, language or product is known beforehand: a word that
+the collection does not know counts as a sentence's. A text is flagged if lists hold more than half of its words.
 """
 
 from __future__ import annotations
@@ -17,142 +19,193 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Words of English, German, Spanish and French sentences that keyword lists, product names and their glue
-# (and, for, in, with, de, para, pour ...) do without.
-SENTENCE_WORDS = frozenset(
-    """
-    a an the i it its is was were are be been has have had do does did my we our us you your he she him her they them their
-    this that these those which who what when where not never none so as at about after before because if than then would
-    could should will just very only from up out over of to but
-    der die das den dem des ein eine einen einem einer ich es er sie wir ihr ist war sind waren hat habe haben hatte wurde
-    wird würde mein meine meiner meinen unser unsere nicht kein keine noch nur schon auch als wie nach seit vom zum zur bei
-    auf dass weil denn aber wenn man sich zu sehr im am beim
-    el la los las un una unos unas lo es son fue era ha han está sigue mi mis nuestro nuestra su sus se me no ya muy más que
-    porque como desde hace después pero si al del ellas ellos todas cerca
-    le les l une est sont était ont je j il elle on nous mon ma mes notre son sa ses ne n plus très qui car mais comme ce cette
-    des du au aux même depuis après dès elles eux près
-    """.split()
-)
+from cladeworks.session import broadcast_if_small, cut
 
 _LINK = re.compile(
     r"""<a\s[^>]*>.*?</a>|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]*\]\([^)\s]*\)|(?:https?|hxxps?|ftp)://\S+|www\.\S+"""
-    r"""|[\w-]+(?:\ ?[\[(]?(?:dot|punkt|punto|point)[\])]?\ )[\w-]+(?:\ /\ [\w-]+)+""",
+    r"""|[\w-]+\ [\[(]?[^\W\d_]{2,5}[\])]?\ [\w-]+(?:\ /\ [\w-]+)+""",
     re.IGNORECASE | re.DOTALL,
-)
+)  # the last form is an address spelled out: name dot domain / part / part
 _MARK = "￼"
 _QUOTED = re.compile(r"^>[ ]?(.*(?:\n>.*)*)", re.MULTILINE)
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|td)(?:\s[^>]*)?>|\r?\n", re.IGNORECASE)
-_TAG = re.compile(r"</?[a-zA-Z][^>\n]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
 _NUMBERING = re.compile(r"^\s*(?:\d{1,3}[.)]|[-*+•])\s+")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"')\]]*\s+")
+_ENDS = re.compile(r"[.!?…][\"')\]\s" + _MARK + r"]*$")
 _WORD = re.compile(r"[^\W_]+")
 _SEPARATOR = re.compile(r"[,;|•·/–]| - |\t")
 _HASHTAG = re.compile(r"#\w")
 
-LIST_ITEM, FRAGMENT, REPEATS, RUN, LEAST_WORDS = 6, 7, 20, 3, 8
+ITEM, SENTENCE, REPEATS, SHORT = 6, 4, 12, 8  # most words of a list item; least of a sentence; of a repeated run; of a list without links or tags
+LISTED, DOUBTED = 0.35, 0.1  # least mean weight of an open piece; of one that has the shape of a list and a sentence's words
+PLAIN, KNOWN_IN = 0.1, 3  # a sentence word's largest weight; least times a word is seen
+BROADCAST_WORDS = 300_000
 
-# Shape kinds that are not those of sentences.
-NON_SENTENCE = ("link", "label", "tags", "list", "keywords", "repeated", "fragments")
+#: Kinds of pieces that are lists whatever their words.
+SURE_LISTS = ("link", "label", "tags")
 
 
 def _bucket(n: int) -> str:
     return "0" if n == 0 else "1" if n == 1 else "few" if n <= 7 else "some" if n <= 20 else "many"
 
 
-def shapes(text: str | None) -> list[tuple[str, int]]:
-    """(shape, words) of a text, equal shapes added up. A shape is its kind and its bucketed counts."""
+def pieces(text: str | None) -> list[tuple[str, str, list[str]]]:
+    """(kind, shape, lower-case words) of a text's pieces; kind is one of SURE_LISTS, sentence, items, repeats or open."""
     if not text:
         return []
     text = unicodedata.normalize("NFKC", text)
-    link_words = 0
+    out: list[tuple[str, str, list[str]]] = []
 
     def lift(m: re.Match) -> str:
-        nonlocal link_words
-        link_words += len(_WORD.findall(m[0]))
+        out.append(("link", "link", [w.lower() for w in _WORD.findall(m[0])]))
         return f" {_MARK} "
 
-    flat = _QUOTED.sub(lambda m: m[1].replace("\n>", " "), _LINK.sub(lift, text))  # a quoted passage is one line, however wrapped
-    pieces: list[tuple[str, str, int]] = []  # kind, shape, words
+    flat = _LINK.sub(lift, text)
+    if ">" in flat:
+        flat = _QUOTED.sub(lambda m: m[1].replace("\n>", " "), flat)  # a quoted passage is one line, however wrapped
     for raw in _BREAK.split(flat):
-        line = _NUMBERING.sub("", _TAG.sub(" ", raw))
+        line = _NUMBERING.sub("", _TAG.sub(" ", raw) if "<" in raw else raw)
         for piece in _SENTENCE_END.split(line):
-            words = [w.lower() for w in _WORD.findall(piece)]
-            links = piece.count(_MARK)
-            if not words:
+            own = _WORD.findall(piece)
+            n = len(own)
+            if not n:
                 continue
-            n = len(words)
-            glue = sum(w in SENTENCE_WORDS for w in words)
-            separators = len(_SEPARATOR.findall(piece))
-            tags = len(_HASHTAG.findall(piece))
-            capitals = sum(w[0].isupper() for w in _WORD.findall(piece))
+            words = [w.lower() for w in own]
+            links, tags, separators = piece.count(_MARK), len(_HASHTAG.findall(piece)), len(_SEPARATOR.findall(piece))
+            capitals = sum(w[0].isupper() for w in own)
             distinct = len(set(words))
+            ends = _ENDS.search(piece) is not None
+            begins = own[0][0].isupper() or own[0][0].isdigit()
             if tags >= 2 and tags * 5 >= n:
                 kind = "tags"
-            elif links and n <= LIST_ITEM * links and glue * 8 <= n:
+            elif links and n <= ITEM * links and not ends:
                 kind = "label"
-            elif separators >= 3 and n <= LIST_ITEM * (separators + 1) and glue * 8 < n:
-                kind = "list"
-            elif n > FRAGMENT and glue * 12 < n:
-                kind = "keywords"
-            elif n >= REPEATS and distinct * 3 < n and glue * 6 < n:
-                kind = "repeated"
-            elif n <= FRAGMENT and not glue:
-                kind = "fragment"
-            else:
+            elif separators >= 3 and n <= ITEM * (separators + 1) and not ends:
+                kind = "items"
+            elif n >= REPEATS and distinct * (5 if n <= 5 * REPEATS else 6) < n * 2:  # long texts repeat words of themselves
+                kind = "repeats"
+            elif ends and begins and n >= SENTENCE and capitals * 2 <= n and separators < 3 and distinct * 3 >= n * 2:
                 kind = "sentence"
-            case = "C" if capitals * 2 >= n else "c" if capitals else "-"
-            pieces.append((kind, f"w:{_bucket(n)} case:{case} sep:{_bucket(separators)} links:{_bucket(links)}", n))
-
-    found: Counter[str] = Counter()
-    if link_words:
-        found["link"] += link_words
-    for i, (kind, shape, n) in enumerate(pieces):
-        if kind == "fragment":  # short pieces are a list only where several follow each other
-            left = right = i
-            while left > 0 and i - left < RUN and pieces[left - 1][0] == "fragment":
-                left -= 1
-            while right + 1 < len(pieces) and right - i < RUN and pieces[right + 1][0] == "fragment":
-                right += 1
-            beside = (left > 0 and pieces[left - 1][0] in NON_SENTENCE) or (right + 1 < len(pieces) and pieces[right + 1][0] in NON_SENTENCE)
-            kind = "fragments" if right - left + 1 >= RUN or beside else "remark"
-        found[f"{kind} {shape}"] += n
-    return list(found.items())
-
-
-def page_shapes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, shapes array of (shape, words)) of every text."""
-    kind = pa.list_(pa.struct([("shape", pa.string()), ("words", pa.int64())]))
+            else:
+                kind = "open"
+            case = "C" if capitals * 2 > n else "c" if capitals else "-"
+            again = "r" if distinct * 3 < n * 2 else "-"
+            shape = f"w:{_bucket(n)} case:{case} sep:{_bucket(separators)} links:{_bucket(links)} tags:{_bucket(tags)} again:{again} end:{'.' if ends else '-'}"
+            out.append((kind, shape, words))
+    return out
+
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
+
+
+def word_roles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(word, listed, plain) over all texts: how often each word stands in sure lists and in sure sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed: Counter[str] = Counter()
+        plain: Counter[str] = Counter()
+
+        def flush() -> pa.RecordBatch:
+            words = list(listed.keys() | plain.keys())
+            out = pa.RecordBatch.from_pydict(
+                {"word": pa.array(words, pa.string()), "l": pa.array([listed[w] for w in words], pa.int64()), "p": pa.array([plain[w] for w in words], pa.int64())}
+            )
+            listed.clear()
+            plain.clear()
+            return out
+
         for b in batches:
-            got = [[{"shape": s, "words": n} for s, n in shapes(t)] for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, kind)], names=["doc_id", "shapes"])
+            for t in b.column(0).to_pylist():
+                for kind, _, words in pieces(t):
+                    if kind == "sentence":
+                        plain.update(words)
+                    elif kind in ("label", "tags", "items", "repeats"):  # not the words of addresses
+                        listed.update(words)
+            if len(listed) + len(plain) > 500_000:
+                yield flush()
+        yield flush()
 
-    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t")]
-    return docs.select(*cols).mapInArrow(run, "doc_id long, shapes array<struct<shape:string,words:bigint>>")
+    counts = _texts(docs, doc_id, text).select("t").mapInArrow(run, "word string, l long, p long")
+    return counts.groupBy("word").agg(F.sum("l").alias("listed"), F.sum("p").alias("plain"))
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, words, listed, top_shapes, stuffed) of every text, in one pass without a shuffle.
+    """(doc_id, words, listed, top_shapes, stuffed) of every text.
 
-    listed: words in shapes that are not those of sentences; top_shapes: the share of the listed words that the text's
-    three largest such shapes hold; stuffed: listed words are more than half, and at least LEAST_WORDS. Null and empty
-    texts have 0 words and are not stuffed; neither are short remarks. Each row is judged by itself, whatever its id.
+    listed: words in links and lists; top_shapes: the share of them that the text's three largest list shapes hold;
+    stuffed: listed words are more than half, and at least SHORT of them unless they are links or tags. Null and empty
+    texts have 0 words and are not stuffed; neither are short remarks. Each row is judged by itself, whatever its id, but
+    by the word roles of the whole table. Only pieces that can turn a text's verdict are joined with the roles.
     """
-    listed = F.filter("shapes", lambda s: F.element_at(F.split(s["shape"], " "), 1).isin(*NON_SENTENCE))
-    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, s: t + s["words"])
-    sums = page_shapes(docs, doc_id, text).select(
-        "doc_id", add(F.col("shapes")).alias("words"), add(listed).alias("listed"),
-        F.slice(F.reverse(F.array_sort(F.transform(listed, lambda s: s["words"]))), 1, 3).alias("top"),
-    )
-    top = F.aggregate("top", F.lit(0).cast("long"), lambda t, x: t + x)
+    kind = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64()), ("again", pa.bool_()), ("w", pa.list_(pa.string()))]))
+    sure_kind = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, sure, undecided, tagged = [], [], [], []
+            for t in b.column(2).to_pylist():
+                found = pieces(t)
+                lists: Counter[str] = Counter()
+                for k, shape, w in found:
+                    if k in SURE_LISTS:
+                        lists[f"{k} {shape}" if k != "link" else k] += len(w)
+                rest = [{"shape": s, "n": len(w), "again": k != "open", "w": w} for k, s, w in found if k in ("open", "items", "repeats")]
+                n, m = sum(len(w) for *_, w in found), sum(lists.values())
+                total.append(n)
+                sure.append([{"shape": s, "n": c} for s, c in lists.items()])
+                undecided.append(rest if 2 * m <= n < 2 * (m + sum(x["n"] for x in rest)) else [])
+                tagged.append(any(k in ("link", "tags") for k, *_ in found))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(tagged, pa.bool_()), pa.array(sure, sure_kind), pa.array(undecided, kind)],
+                names=["row", "doc_id", "words", "tagged", "sure", "rest"],
+            )
+
+    schema = (
+        "row long, doc_id long, words long, tagged boolean, sure array<struct<shape:string,n:bigint>>, "
+        "rest array<struct<shape:string,n:bigint,again:boolean,w:array<string>>>"
+    )
+    numbered = _texts(docs, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "t")
+    read = cut(numbered.mapInArrow(run, schema))
+    open_ = read.where(F.size("rest") > 0).select("row", F.posexplode("rest").alias("piece", "p"))
+    each = open_.select("row", "piece", "p.shape", "p.n", "p.again", F.explode("p.w").alias("word"))
+    roles = word_roles(docs, doc_id, text).where(F.col("listed") + F.col("plain") >= KNOWN_IN)
+    weights = roles.select("word", (F.col("listed") / (F.col("listed") + F.col("plain"))).alias("weight"))
+    met = each.join(broadcast_if_small(cut(weights), BROADCAST_WORDS), "word", "left")
+    scored = met.groupBy("row", "piece", "shape", "n", "again").agg(
+        F.coalesce(F.sum("weight"), F.lit(0.0)).alias("s"), F.count_if(F.col("weight") < PLAIN).alias("plain")
+    )
+    mean = F.col("s") / F.col("n")
+    is_list = F.when(F.col("again"), (F.col("plain") * 6 < F.col("n")) | (mean >= DOUBTED)).otherwise(mean >= LISTED)
+    turned = scored.where(is_list).groupBy("row", "shape").agg(F.sum("n").alias("n")).groupBy("row").agg(F.collect_list(F.struct("shape", "n")).alias("more"))
+    lists = F.concat("sure", F.coalesce("more", F.array().cast("array<struct<shape:string,n:bigint>>")))
+    add = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda t, x: t + x)
+    whole = read.join(turned, "row", "left").select("doc_id", "words", "tagged", F.transform(lists, lambda s: s["n"]).alias("n"))
+    sums = whole.select("doc_id", "words", "tagged", add(F.col("n")).alias("listed"), add(F.slice(F.reverse(F.array_sort("n")), 1, 3)).alias("top"))
     return sums.select(
-        "doc_id", "words", "listed", F.when(F.col("listed") > 0, top / F.col("listed")).alias("top_shapes"),
-        ((F.col("listed") * 2 > F.col("words")) & (F.col("listed") >= LEAST_WORDS)).alias("stuffed"),
+        "doc_id", "words", "listed", F.when(F.col("listed") > 0, F.col("top") / F.col("listed")).alias("top_shapes"),
+        ((F.col("listed") * 2 > F.col("words")) & ((F.col("listed") >= SHORT) | F.col("tagged"))).alias("stuffed"),
     )
 
 
 def corpus_shapes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shape, texts, words) over all texts: which shapes the collection has."""
-    each = page_shapes(docs, doc_id, text).select(F.explode("shapes").alias("s"))
-    return each.groupBy(F.col("s.shape").alias("shape")).agg(F.count(F.lit(1)).alias("texts"), F.sum("s.words").alias("words"))
+    """(kind, shape, texts, words) over all texts: which shapes the collection has; words add up to the texts' words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: Counter[tuple[str, str]] = Counter()
+        words: Counter[tuple[str, str]] = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                found = pieces(t)
+                texts.update({(k, s) for k, s, _ in found})
+                for k, s, w in found:
+                    words[k, s] += len(w)
+        keys = list(texts)  # shapes are few
+        yield pa.RecordBatch.from_pydict(
+            {"kind": pa.array([k for k, _ in keys], pa.string()), "shape": pa.array([s for _, s in keys], pa.string()),
+             "t": pa.array([texts[k] for k in keys], pa.int64()), "w": pa.array([words[k] for k in keys], pa.int64())}
+        )
+
+    each = _texts(docs, doc_id, text).select("t").mapInArrow(run, "kind string, shape string, t long, w long")
+    return each.groupBy("kind", "shape").agg(F.sum("t").alias("texts"), F.sum("w").alias("words"))
