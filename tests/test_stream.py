@@ -9,7 +9,7 @@ from cladeworks.streaming import symbol_windows as sw
 def test_late_rows(spark, tmp_path):
     schema = "loaded_at timestamp_ntz, residues string"
     day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
-    parts = [[(day(0), "AC-g"), (None, "A"), (day(1), None)], [(day(400), "TT")], [(day(2), "AAAA"), (day(401), "T"), (day(300), "G")]]
+    parts = [[(day(0), "AC-g"), (None, "A"), (day(1), None)], [(day(400), "TT")], [(day(401), "T")], [(day(2), "AAAA"), (day(300), "G")]]
     for i, rows in enumerate(parts):  # a file a batch, in order of time
         out = tmp_path / "s.parquet"
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(out))
