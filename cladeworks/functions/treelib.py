@@ -274,7 +274,7 @@ def robinson_foulds(a: Tree, b: Tree) -> int:
 
 
 def neighbour_joining(distance: np.ndarray, labels: list[str]) -> Tree:
-    """Neighbour joining; among equal minima the first pair in row order of the lower triangle is joined."""
+    """Neighbour joining; among minima equal to nine places the first pair in row order of the lower triangle is joined."""
     n = len(labels)
     if n == 0:
         raise ValueError("no sequences")
@@ -285,7 +285,7 @@ def neighbour_joining(distance: np.ndarray, labels: list[str]) -> Tree:
         m = len(ids)
         s = d.sum(1)
         if m > 2:
-            q = (m - 2) * d - s[:, None] - s[None, :]
+            q = np.round((m - 2) * d - s[:, None] - s[None, :], 9)
             q[np.triu_indices(m)] = np.inf
             i, j = divmod(int(q.argmin()), m)
             bi = d[i, j] / 2 + (s[i] - s[j]) / (2 * (m - 2))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeworks.functions import costs, indel_align, models, optimise, treelib
 from cladeworks.functions.alphabet import BY_NAME
+from cladeworks.functions.protocols import Aligner
 from cladeworks.operators.hierarchy import hierarchy
 from cladeworks.operators.sequence_ops import drop_gap_columns
 from cladeworks.operators.tree_ops import links_of, tree_rows
@@ -139,13 +140,18 @@ def per_family(families: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return families.select("tree_id", "alphabet", "rows", "nodes").repartition(width, "tree_id").mapInPandas(run, schema)
 
 
-def subtree_alignments(seqs: DataFrame, nodes: DataFrame, current: DataFrame) -> DataFrame:
-    """(tree_id, node_id, seq_id, residues): for both children of each aligned family's root the rows of the leaves below
-    it, without the columns that are gaps in all of them."""
+def subtree_alignments(seqs: DataFrame, nodes: DataFrame, current: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(tree_id, node_id, seq_id, residues): for the wanted nodes (tree_id, node_id) of aligned families the rows of the
+    leaves below them, without the columns that are gaps in all of those; by default both children of each root."""
     fit = matched(seqs, current).where("aligned and longest > 0").select("tree_id")
-    paths = hierarchy(nodes).where("cycle_node is null and levels >= 2").join(fit, "tree_id").select("tree_id", "node_id", F.col("path")[1].alias("below"))
+    paths = hierarchy(nodes).where("cycle_node is null").join(fit, "tree_id")
+    if wanted is None:
+        above = paths.where("levels >= 2").select("tree_id", "node_id", F.col("path")[1].alias("below"))
+    else:
+        above = paths.select("tree_id", "node_id", F.explode("path").alias("below"))
+        above = above.join(wanted.select("tree_id", F.col("node_id").alias("below")).distinct(), ["tree_id", "below"], "left_semi")
     leaves = current.join(current.select("tree_id", F.col("parent_id").alias("node_id")).distinct(), ["tree_id", "node_id"], "left_anti")
-    named = leaves.join(paths, ["tree_id", "node_id"]).select("tree_id", F.col("below").alias("node_id"), F.col("label").alias("seq_id"))
+    named = leaves.join(above, ["tree_id", "node_id"]).select("tree_id", F.col("below").alias("node_id"), F.col("label").alias("seq_id"))
     rows = named.join(leaves_with_records(seqs, current).select("tree_id", "seq_id", "residues").distinct(), ["tree_id", "seq_id"])
     keyed = rows.withColumn("family_id", F.concat_ws("/", "tree_id", F.col("node_id").cast("string")))
     return drop_gap_columns(keyed).select("tree_id", "node_id", "seq_id", "residues")
@@ -160,11 +166,15 @@ def node_maps(families: DataFrame) -> DataFrame:
     return per_family(families.where("aligned"), fn, "tree_id string, place int, map_x array<int>, map_y array<int>")
 
 
-def aligned_rows(families: DataFrame, gap_open: float = 2.5, gap_ext: float = 0.5) -> DataFrame:
-    """(tree_id, seq_id, residues, columns, score): the indel-aware progressive alignment of each family on its tree."""
+def aligned_rows(families: DataFrame, gap_open: float = 2.5, gap_ext: float = 0.5, aligner: Aligner | None = None) -> DataFrame:
+    """(tree_id, seq_id, residues, columns, score): the indel-aware progressive alignment of each family on its tree, or
+    that of another aligner (with score 0)."""
 
     def fn(tree, rows, alphabet):
-        out, scores = indel_align.align(tree, rows, alphabet, costs.SimpleScoring(1.0, gap_open, gap_ext))
+        if aligner is None:
+            out, scores = indel_align.align(tree, rows, alphabet, costs.SimpleScoring(1.0, gap_open, gap_ext))
+        else:
+            out, scores = aligner.align(tree, rows, alphabet), {0: 0.0}
         return [(k, v, len(v), sum(scores.values())) for k, v in sorted(out.items())]
 
     return per_family(families, fn, "tree_id string, seq_id string, residues string, columns int, score double")

@@ -70,17 +70,35 @@ def columns_of_gaps(seqs: DataFrame) -> DataFrame:
 
 
 def drop_gap_columns(seqs: DataFrame) -> DataFrame:
-    """Rows of aligned families without the columns that are gaps in all of the family's rows; other families unchanged."""
+    """Rows of aligned families without the columns that are gaps in all of the family's rows; other families unchanged.
+
+    What is left of a row are the runs between columns that go, so its cost follows their number.
+    """
     gone = columns_of_gaps(seqs).groupBy("family_id").agg(F.sort_array(F.collect_list("col")).alias("gone"))
-    kept = F.filter(F.sequence(F.lit(1), F.length("residues")), lambda i: ~F.array_contains("gone", i - 1))
-    short = F.array_join(F.transform(kept, lambda i: F.col("residues").substr(i, F.lit(1))), "")
+    begins = F.concat(F.array(F.lit(0)), F.transform("gone", lambda c: c + 1))
+    ends = F.concat(F.col("gone"), F.array(F.length("residues")))
+    runs = F.filter(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda r: r["e"] > r["b"])
+    short = F.array_join(F.transform(runs, lambda r: F.substring("residues", r["b"] + 1, r["e"] - r["b"])), "")
     return seqs.join(gone, "family_id", "left").withColumn("residues", F.when(F.col("gone").isNull(), F.col("residues")).otherwise(short)).drop("gone")
 
 
+def record_by_id(seqs: DataFrame, seq_id: str) -> DataFrame:
+    """The rows of that name, the first by record_id of each family; none if there is none."""
+    found = seqs.where(F.col("seq_id") == seq_id)
+    return found.withColumn("rn", F.row_number().over(Window.partitionBy("family_id").orderBy("record_id"))).where("rn = 1").drop("rn")
+
+
+def as_fasta(seqs: DataFrame) -> DataFrame:
+    """(seq_id, text) of each row as a FASTA record."""
+    head = F.concat(F.lit(">"), F.col("seq_id"), F.coalesce(F.concat(F.lit(" "), F.col("descr")), F.lit("")))
+    return seqs.select("seq_id", F.concat(head, F.lit("\n"), F.col("residues"), F.lit("\n")).alias("text"))
+
+
 def symbol_counts(seqs: DataFrame) -> DataFrame:
-    """(family_id, ch, n): letters counted per row first, gaps included."""
-    letters = seqs.where(F.length("residues") > 0).select("family_id", F.explode(F.split("residues", "")).alias("ch")).where("ch <> ''")
-    return letters.groupBy("family_id", "ch").agg(F.count(F.lit(1)).alias("n"))
+    """(family_id, ch, n): letters counted per row first, gaps included, so that a row sends a number for each letter it has."""
+    own = seqs.where(F.length("residues") > 0).select("family_id", "residues", F.explode(F.array_distinct(F.split("residues", ""))).alias("ch")).where("ch <> ''")
+    counted = own.select("family_id", "ch", (F.length("residues") - F.length(F.replace("residues", F.col("ch"), F.lit("")))).alias("n"))
+    return counted.groupBy("family_id", "ch").agg(F.sum("n").cast("long").alias("n"))
 
 
 def alphabet_table(spark) -> DataFrame:
@@ -134,17 +152,19 @@ def edit_distance(masks: dict[str, int], n: int, text: str) -> int:
     return score
 
 
-def pair_distances(rows: DataFrame, salts: int = 16) -> DataFrame:
+def pair_distances(rows: DataFrame, cell: int = 48) -> DataFrame:
     """(tree_id, a, b, edits, distance) for all pairs of a tree's leaves (tree_id, seq_id, residues), a before b by name.
 
     Rows are compared as given, gaps included, by edit distance with the Jukes-Cantor correction, saturated just below
-    3/4. The pairs are the result itself. One side is dealt to ``salts`` groups and the other copied to all of them, so
-    that the pairs of one large tree are made by many tasks. The built-in levenshtein fills its table cell by cell; here a
+    3/4. The pairs are the result itself. A tree's leaves are dealt to groups of about ``cell``, and all leaves are brought
+    to each group, so that the pairs of one large tree are made by many tasks. The built-in levenshtein fills its table cell by cell; here a
     whole column is one integer, which is several times faster in spite of the way through Python.
     """
-    a = rows.select("tree_id", F.col("seq_id").alias("a"), F.col("residues").alias("ra"), F.pmod(F.xxhash64("seq_id"), F.lit(salts)).alias("s"))
+    salts = rows.groupBy("tree_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).alias("k"))
+    sized = cut(rows.select("tree_id", "seq_id", "residues").join(salts, "tree_id"))
+    a = sized.select("tree_id", F.col("seq_id").alias("a"), F.col("residues").alias("ra"), F.pmod(F.xxhash64("seq_id"), F.col("k")).alias("s"))
     a = a.repartition(4 * max(rows.sparkSession.sparkContext.defaultParallelism, shuffle_width(rows.sparkSession)), "tree_id", "s")  # few bytes, much work
-    b = rows.select("tree_id", F.col("seq_id").alias("b"), F.col("residues").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("s"))
+    b = sized.select("tree_id", F.col("seq_id").alias("b"), F.col("residues").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("s"))
     pairs = a.join(b, ["tree_id", "s"]).where("a < b").select("tree_id", "a", "b", "ra", "rb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +189,7 @@ def pair_distances(rows: DataFrame, salts: int = 16) -> DataFrame:
 
 def row_sums(distances: DataFrame) -> DataFrame:
     """(tree_id, name, others, total): each leaf's sum of distances."""
-    both = distances.select("tree_id", F.col("a").alias("name"), "distance").unionByName(distances.select("tree_id", F.col("b").alias("name"), "distance"))
+    both = distances.select("tree_id", F.explode(F.array("a", "b")).alias("name"), "distance")  # one pass over what is dear to make
     return both.groupBy("tree_id", "name").agg(F.count(F.lit(1)).alias("others"), F.sum("distance").alias("total"))
 
 

@@ -123,7 +123,7 @@ def partitions(trees: DataFrame) -> DataFrame:
 
 
 def robinson_foulds(one: DataFrame, two: DataFrame) -> DataFrame:
-    """(tree_id, directed, symmetric): splits of tree one's over the common leaves that two lacks; trees meet by tree_id."""
+    """(tree_id, rf_directed, rf_symmetric): splits of tree one's over the common leaves that two lacks; trees meet by tree_id."""
     pairs = one.select("tree_id", F.col("nodes").alias("n1")).join(two.select("tree_id", F.col("nodes").alias("n2")), "tree_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,9 +136,9 @@ def robinson_foulds(one: DataFrame, two: DataFrame) -> DataFrame:
                     continue
                 there = treelib.robinson_foulds(t1, t2)
                 rows.append((tree_id, there, there + treelib.robinson_foulds(t2, t1)))
-            yield pd.DataFrame(rows, columns=["tree_id", "directed", "symmetric"])
+            yield pd.DataFrame(rows, columns=["tree_id", "rf_directed", "rf_symmetric"])
 
-    return pairs.mapInPandas(run, "tree_id string, directed int, symmetric int")
+    return pairs.mapInPandas(run, "tree_id string, rf_directed int, rf_symmetric int")
 
 
 def spr_places(trees: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def nj_trees(distances: DataFrame) -> DataFrame:
 
 
 def against_newick(trees: DataFrame, texts: DataFrame) -> DataFrame:
-    """(tree_id, directed, symmetric): distances between each tree and the Newick text of the same tree_id."""
+    """(tree_id, rf_directed, rf_symmetric): distances between each tree and the Newick text of the same tree_id."""
     pairs = trees.select("tree_id", "nodes").join(texts.select("tree_id", "newick"), "tree_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,6 +188,6 @@ def against_newick(trees: DataFrame, texts: DataFrame) -> DataFrame:
                     continue
                 there = treelib.robinson_foulds(one, two)
                 rows.append((tree_id, there, there + treelib.robinson_foulds(two, one)))
-            yield pd.DataFrame(rows, columns=["tree_id", "directed", "symmetric"])
+            yield pd.DataFrame(rows, columns=["tree_id", "rf_directed", "rf_symmetric"])
 
-    return pairs.mapInPandas(run, "tree_id string, directed int, symmetric int")
+    return pairs.mapInPandas(run, "tree_id string, rf_directed int, rf_symmetric int")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeworks.functions import models
+from cladeworks.functions import costs, models, treelib
 from cladeworks.functions.alphabet import DNA, DNA_WORD, GAP, PROTEIN, PROTEIN_WORD, mask_of
 from cladeworks.operators import family_costs as fc
 from cladeworks.operators import sequence_ops as so
 from cladeworks.operators import tree_ops as to
+from cladeworks.plans import oracles as osql
 from cladeworks.plans.general import _FORCE
 from cladeworks.session import table
 from cladeworks.sources import tree_files
@@ -48,12 +49,20 @@ def gapless(spark, d):
     return so.gapless(_seqs(spark, d)).select("record_id", "residues")
 
 
+def _thirds(spark, d) -> DataFrame:
+    """Each aligned family's records in three parts by record_id, as families of their own: parts have columns of gaps."""
+    part = F.concat_ws("/", "family_id", F.pmod("record_id", F.lit(3)).cast("string"))
+    whole = family_facts(_seqs(spark, d)).where("aligned").select("family_id")
+    return _seqs(spark, d).join(whole, "family_id").withColumn("family_id", part)
+
+
 def gap_columns(spark, d):
-    return so.columns_of_gaps(_seqs(spark, d))
+    return so.columns_of_gaps(_seqs(spark, d)).unionByName(so.columns_of_gaps(_thirds(spark, d)))
 
 
 def remove_gap_columns(spark, d):
-    return so.drop_gap_columns(_seqs(spark, d)).select("record_id", "residues")
+    whole, parts = so.drop_gap_columns(_seqs(spark, d)), so.drop_gap_columns(_thirds(spark, d))
+    return whole.unionByName(parts.select(*whole.columns)).select("record_id", "family_id", "residues")
 
 
 def align_map(spark, d):
@@ -114,6 +123,21 @@ def nj_tree(spark, d):
     return to.nj_trees(so.pair_distances(_leaves(spark, d)))
 
 
+def nj_branches(spark, d):
+    """The joined trees' branches: the leaves below each, and its length."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for tree_id, text in zip(b["tree_id"], b["newick"], strict=True):
+                t = treelib.parse_newick(text)[0]
+                rows += [(tree_id, ",".join(sorted(t.leaf_set(i))), round(t.blen[i], 5) + 0.0) for i in range(len(t)) if i != t.root]
+            yield pd.DataFrame(rows, columns=["tree_id", "leaves", "blen"])
+
+    return nj_tree(spark, d).select("tree_id", "newick").mapInPandas(run, "tree_id string, leaves string, blen double")
+
+
 def rf_to_nj(spark, d):
     return to.against_newick(to.tree_rows(_nodes(spark, d)), nj_tree(spark, d))
 
@@ -155,30 +179,63 @@ def newick_roundtrip(spark, d):
     )
 
 
+def _by_branch(spark, d, fn, schema: str) -> DataFrame:
+    """fn(branch lengths) of every node in force, a batch at a time; fn gives a dict of columns."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"tree_id": b["tree_id"], "node_id": b["node_id"], **fn(b["b"].tolist())})
+
+    return _nodes(spark, d).select("tree_id", "node_id", _usable().alias("b")).mapInPandas(run, f"tree_id string, node_id int, {schema}")
+
+
 def nearest_time(spark, d):
     """The nearest of the times at which costs are tabulated for each branch; of two equally near the smaller."""
-    times = F.array(*[F.struct(F.abs(_usable() - F.lit(t)).alias("off"), F.lit(t).alias("t")) for t in TIMES])
-    return _nodes(spark, d).select("tree_id", "node_id", F.array_min(times)["t"].alias("time"))
+
+    def fn(lengths):
+        scoring = costs.ModelScoring(models.make("JC69"), list(TIMES))
+        return {"time": [scoring.times[scoring.at(b)] for b in lengths]}
+
+    return _by_branch(spark, d, fn, "time double")
+
+
+def model_scoring(spark, d):
+    """Gap and mismatch costs by a model's tables at the nearest time, and their mean."""
+
+    def fn(lengths):
+        scoring = costs.ModelScoring(models.make("JC69"), list(TIMES), 2.5, 1.0, zero_diagonal=True)
+        a, c, r = DNA.mask("A"), DNA.mask("C"), DNA.mask("R")
+        return {
+            "open": [round(scoring.open(b), 6) for b in lengths], "ext": [round(scoring.ext(b), 6) for b in lengths], "mean": [round(scoring.avg(b), 6) for b in lengths],
+            "mismatch": [round(scoring.min_match(b, a, c), 6) for b in lengths], "within": [round(scoring.min_match(b, a, r), 6) for b in lengths],
+        }
+
+    return _by_branch(spark, d, fn, "open double, ext double, mean double, mismatch double, within double")
 
 
 def jc69_p(spark, d):
-    e = F.exp(_usable() * F.lit(-4 / 3))
-    return _nodes(spark, d).select("tree_id", "node_id", F.round(0.25 + 0.75 * e, 8).alias("same"), F.round(0.25 - 0.25 * e, 8).alias("other"))
+    def fn(lengths):
+        m = models.make("JC69")
+        p = [m.p(b) for b in lengths]
+        return {"same": [round(x[0, 0], 8) + 0.0 for x in p], "other": [round(x[0, 1], 8) + 0.0 for x in p]}
+
+    return _by_branch(spark, d, fn, "same double, other double")
 
 
 def k80_p(spark, d):
     """Same, transition and transversion probabilities of each branch for a rate ratio of 2."""
-    k = 2.0
-    t = _usable() / (k + 2) * 4  # one change per unit of time
-    e1, e2 = F.exp(-t), F.exp(-t * ((k + 1) / 2))
-    return _nodes(spark, d).select(
-        "tree_id", "node_id", F.round(0.25 + 0.25 * e1 + 0.5 * e2, 8).alias("same"), F.round(0.25 + 0.25 * e1 - 0.5 * e2, 8).alias("transition"),
-        F.round(0.25 - 0.25 * e1, 8).alias("transversion"),
-    )
+
+    def fn(lengths):
+        m = models.make("K80", None, [2.0])
+        p = [m.p(b) for b in lengths]
+        return {"same": [round(x[0, 0], 8) + 0.0 for x in p], "transition": [round(x[0, 1], 8) + 0.0 for x in p], "transversion": [round(x[0, 2], 8) + 0.0 for x in p]}
+
+    return _by_branch(spark, d, fn, "same double, transition double, transversion double")
 
 
 def model_rates(spark, d):
-    """Mean rate, largest row sum and row sum of P(0.5) of every model of the table, built in workers."""
+    """All rates of every model of the table, built in workers."""
     import pandas as pd
 
     def run(batches):
@@ -189,11 +246,10 @@ def model_rates(spark, d):
                     m = models.make(family or "", freqs, params)
                 except ValueError:
                     continue
-                rows.append((i, m.name, m.n, round(float(m.freqs @ m.q.diagonal()), 6), round(float(abs(m.q.sum(1)).max()), 6) + 0.0, round(float(m.p(0.5)[0].sum()), 6)))
-            yield pd.DataFrame(rows, columns=["model_id", "model", "states", "mean_rate", "row_sum", "p_sum"])
+                rows += [(i, m.name, m.n, k + 1, j + 1, round(float(m.q[k, j]), 6) + 0.0) for k in range(m.n) for j in range(m.n)]
+            yield pd.DataFrame(rows, columns=["model_id", "model", "states", "i", "j", "rate"])
 
-    schema = "model_id string, model string, states int, mean_rate double, row_sum double, p_sum double"
-    return table(spark, d, "models").select("model_id", "family", "freqs", "params").mapInPandas(run, schema)
+    return table(spark, d, "models").select("model_id", "family", "freqs", "params").mapInPandas(run, "model_id string, model string, states int, i int, j int, rate double")
 
 
 def _blocks(spark, d):
@@ -228,9 +284,14 @@ def indel_loglik(spark, d):
 
 
 def stirling(spark, d):
-    n = F.col("longest").cast("double")
-    facts = family_facts(_seqs(spark, d)).where("longest > 0")
-    return facts.select("family_id", F.round(n * F.log(n) - n + F.log(n) / 2 + 1 / (12 * n) + F.lit(0.9189385332046727), 6).alias("log_factorial"))
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame({"family_id": b["family_id"], "log_factorial": [round(costs.stirling(float(n)), 6) for n in b["longest"]]})
+
+    facts = family_facts(_seqs(spark, d)).where("longest > 0").select("family_id", "longest")
+    return facts.mapInPandas(run, "family_id string, log_factorial double")
 
 
 def _families(spark, d):
@@ -262,7 +323,8 @@ def subtree_alignments(spark, d):
 
 
 def node_maps(spark, d):
-    return fc.node_maps(_families(spark, d))
+    shown = lambda c: F.concat_ws(",", F.transform(c, lambda i: F.coalesce(i.cast("string"), F.lit(GAP)))).alias(c)
+    return fc.node_maps(_families(spark, d)).select("tree_id", "place", shown("map_x"), shown("map_y"))
 
 
 def stream_symbol_windows(spark, d):
@@ -273,9 +335,9 @@ def stream_symbol_windows(spark, d):
 _FUNCTIONS = (
     stream_symbol_windows, node_relations, subtree_alignments, node_maps,
     fasta_normalise, family_alphabets, gapless, gap_columns, remove_gap_columns, align_map, align_map_roundtrip, symbol_counts,
-    empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, rf_to_nj,
+    empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, nj_branches, rf_to_nj,
     tree_checks, tree_facts, blen_percentiles, leaf_descendants, partitions, spr_moves, traversals, newick_roundtrip, nearest_time,
-    jc69_p, k80_p, model_rates, site_patterns, fitch_score, dollo_score, jc69_loglik, model_loglik, indel_loglik, stirling,
+    model_scoring, jc69_p, k80_p, model_rates, site_patterns, fitch_score, dollo_score, jc69_loglik, model_loglik, indel_loglik, stirling,
     indel_alignment, branch_optimise, model_optimise, parsimony_search,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
@@ -296,7 +358,9 @@ _CELLS = f"""{_SEQ}, {_FACTS},
 cell AS (SELECT family_id, record_id, i::INT - 1 AS col, substr(residues, i::INT, 1) AS ch
   FROM (SELECT family_id, record_id, residues, unnest(range(1, length(residues) + 1)) AS i FROM seq))"""
 _GONE = f"""{_CELLS},
-gone AS MATERIALIZED (SELECT family_id, col FROM cell JOIN facts USING (family_id) WHERE aligned GROUP BY family_id, col HAVING bool_and(ch = '-'))"""
+each AS MATERIALIZED (SELECT family_id, record_id, col, ch, aligned FROM cell JOIN facts USING (family_id)
+  UNION ALL SELECT family_id || '/' || (record_id % 3)::VARCHAR, record_id, col, ch, aligned FROM cell JOIN facts USING (family_id) WHERE aligned),
+gone AS MATERIALIZED (SELECT family_id, col FROM each WHERE aligned GROUP BY family_id, col HAVING bool_and(ch = '-'))"""
 
 
 def _members(alphabet) -> str:
@@ -309,10 +373,10 @@ _LUT = f"lut(alphabet, ch, symbol, size) AS (VALUES {_members(DNA)}, {_members(P
 # all nodes in force with the existing parent (up), fam, and the leaves' records
 _TREES = f"""{_FORCE}, {_SEQ},
 nod AS MATERIALIZED (
-  SELECT tree_id, regexp_replace(tree_id, '_t\\d+$', '') AS family_id, node_id, parent_id, is_leaf, coalesce(label, '') AS label, blen AS raw_blen,
+  SELECT tree_id, regexp_replace(tree_id, '_t\\d+$', '') AS family_id, node_id, parent_id, child_ord, is_leaf, coalesce(label, '') AS label, blen AS raw_blen,
     CASE WHEN blen IS NULL OR isnan(blen) OR blen <= 0 THEN 0.0 ELSE blen END AS b
   FROM (SELECT *, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY loaded_at DESC NULLS LAST, parent_id DESC NULLS LAST,
-        blen DESC NULLS LAST) AS rn FROM nodes WHERE tree_id IS NOT NULL AND node_id IS NOT NULL) WHERE rn = 1),
+        blen DESC NULLS LAST, child_ord DESC NULLS LAST) AS rn FROM nodes WHERE tree_id IS NOT NULL AND node_id IS NOT NULL) WHERE rn = 1),
 nam AS MATERIALIZED (SELECT family_id, seq_id, arg_min(residues, record_id) AS residues FROM seq GROUP BY family_id, seq_id),
 tip AS MATERIALIZED (
   SELECT n.tree_id, n.node_id, n.family_id, n.label AS seq_id, nam.residues
@@ -416,8 +480,9 @@ ORACLES = {
     "gapless": f"WITH {_SEQ} SELECT record_id, replace(residues, '-', '') AS residues FROM seq",
     "gap_columns": f"WITH {_GONE} SELECT family_id, col FROM gone",
     "remove_gap_columns": f"""WITH {_GONE}, kept AS (
-      SELECT c.record_id, string_agg(c.ch, '' ORDER BY c.col) AS r FROM cell c ANTI JOIN gone g ON c.family_id = g.family_id AND c.col = g.col GROUP BY c.record_id)
-      SELECT seq.record_id, coalesce(kept.r, '') AS residues FROM seq LEFT JOIN kept USING (record_id)""",
+      SELECT c.record_id, c.family_id, string_agg(c.ch, '' ORDER BY c.col) AS r FROM each c ANTI JOIN gone g ON c.family_id = g.family_id AND c.col = g.col GROUP BY c.record_id, c.family_id),
+      owner AS (SELECT record_id, family_id FROM seq UNION ALL SELECT record_id, family_id || '/' || (record_id % 3)::VARCHAR FROM seq JOIN facts USING (family_id) WHERE aligned)
+      SELECT record_id, family_id, coalesce(kept.r, '') AS residues FROM owner LEFT JOIN kept USING (record_id, family_id)""",
     "align_map": f"""WITH {_CELLS}, p AS (SELECT record_id, col, ch, sum((ch <> '-')::INT) OVER (PARTITION BY record_id ORDER BY col) - 1 AS pos FROM cell),
       t AS (SELECT record_id, string_agg(CASE WHEN ch = '-' THEN '-' ELSE pos::VARCHAR END, ',' ORDER BY col) AS map FROM p GROUP BY record_id)
       SELECT record_id, coalesce(t.map, '') AS map FROM seq LEFT JOIN t USING (record_id)""",
@@ -470,8 +535,19 @@ ORACLES = {
     "k80_p": f"""WITH RECURSIVE {_TREES}, t AS (SELECT tree_id, node_id, exp(-b) AS e1, exp(-b * 1.5::DOUBLE) AS e2 FROM nod)
       SELECT tree_id, node_id, round(0.25 + 0.25::DOUBLE * e1 + 0.5::DOUBLE * e2, 8) AS same, round(0.25 + 0.25::DOUBLE * e1 - 0.5::DOUBLE * e2, 8) AS transition,
       round(0.25 - 0.25::DOUBLE * e1, 8) AS transversion FROM t""",
-    "model_rates": """SELECT model_id, upper(family) AS model, CASE WHEN upper(family) IN ('WAG', 'HIVB', 'BLOSUM') THEN 20 ELSE 4 END::INT AS states,
-      -1.0::DOUBLE AS mean_rate, 0.0::DOUBLE AS row_sum, 1.0::DOUBLE AS p_sum FROM models""",
+    "model_scoring": f"""WITH RECURSIVE {_TREES}, t(t) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in TIMES)}),
+      r AS (SELECT tree_id, node_id, t, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY abs(b - t), t) AS rn FROM nod, t),
+      c AS (SELECT tree_id, node_id, -ln(0.25 - 0.25::DOUBLE * exp(t * (-4.0::DOUBLE / 3))) AS c FROM r WHERE rn = 1)
+      SELECT tree_id, node_id, round(2.5::DOUBLE * c * 0.75, 6) AS open, round(c * 0.75::DOUBLE, 6) AS ext, round(c * 0.75::DOUBLE, 6) AS mean,
+        round(c, 6) AS mismatch, 0.0::DOUBLE AS within FROM c""",
+    "model_rates": osql.model_rates(),
+    "traversals": osql.traversals(_TREES, _BINARY),
+    "tree_checks": osql.tree_checks(_TREES, _BINARY),
+    "node_maps": osql.node_maps(_TREES, _BINARY, DNA_WORD, PROTEIN_WORD),
+    "nj_branches": osql.nj_branches(_PAIRS),
+    "rf_to_nj": osql.rf_to_nj(_PAIRS, _BINARY),
+    "model_loglik": osql.loglik(_ALIGNED, _MASKS, _upward),
+    "indel_loglik": osql.indel(_ALIGNED, _MASKS, _upward),
     "site_patterns": f"""WITH RECURSIVE {_ALIGNED}, all_ AS (SELECT tree_id, bool_and(residues IS NOT NULL) AND min(length(residues)) = max(length(residues)) AND max(length(residues)) > 0
         AND (bool_and(regexp_matches(residues, '{DNA_WORD}')) OR bool_and(regexp_matches(residues, '{PROTEIN_WORD}'))) AS good FROM tip GROUP BY tree_id),
       s2 AS (SELECT tree_id, seq_id, i::INT AS col, substr(residues, i::INT, 1) AS ch FROM (SELECT t.tree_id, t.seq_id, t.residues, unnest(range(1, length(t.residues) + 1)) AS i

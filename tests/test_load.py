@@ -1,36 +1,57 @@
+"""Families from files, node maps, candidate moves."""
+
 import pytest
 
-from cladeworks.functions import costs, treelib
+from cladeworks.functions import costs, models, optimise, treelib
 from cladeworks.functions.alphabet import DNA
+from cladeworks.operators import family_costs as fc
 from cladeworks.plans.load import load_family
 
 
 def test_load(spark, tmp_path):
     f, n, m = tmp_path / "a.fasta", tmp_path / "a.nwk", tmp_path / "b.fasta"
-    f.write_text(">A\nAACT\n>B\nAC\n>C\nA\n>D\nGA\n")
-    n.write_text("((A:1.0,B:1.0):1.0,(C:1.0,D:1.0):1.0);(A,B);")
-    m.write_text(">A\n-ACT\n>B\n-AC-\n>C\n-A--\n>D\n-GA-\n")
+    f.write_text(">p\nACCGTT\n>q\nACTT\n>r\nCT\n>s\nGACT\n")
+    n.write_text("((p:1,q:1):1,(r:1,s:1):1);(p,q);")
+    m.write_text(">p\n-ACGT\n>q\n-AC--\n>r\n-A-G-\n>s\n-GACT\n")
     rows, nodes = load_family(spark, str(f), str(n))
     got = {r.seq_id: r.residues for r in rows.collect()}
-    assert len({len(x) for x in got.values()}) == 1 and got["A"].replace("-", "") == "AACT" and nodes.count() == 7
+    assert len({len(x) for x in got.values()}) == 1 and got["p"].replace("-", "") == "ACCGTT" and nodes.count() == 7
     rows, nodes = load_family(spark, str(m))
-    assert {r.seq_id: r.residues for r in rows.collect()}["D"] == "GA-" and nodes.count() == 7
-    n.write_text("(A:1,B:1);")
-    with pytest.raises(ValueError, match="sequences without leaves: \\['C', 'D'\\]"):
+    assert {r.seq_id: r.residues for r in rows.collect()}["s"] == "GACT" and nodes.count() == 7
+    n.write_text("(p:1,q:1);")
+    with pytest.raises(ValueError, match="sequences without leaves: \\['r', 's'\\]"):
         load_family(spark, str(f), str(n))
-    n.write_text("((A:1,B:1);")
+    n.write_text("((p:1,q:1);")
     with pytest.raises(ValueError, match="Newick"):
         load_family(spark, str(f), str(n))
 
 
 def test_node_maps():
-    t = treelib.parse_newick("((A,B),C);")[0]
-    maps = treelib.node_maps(t, {"A": "A-C-", "B": "--CG", "C": "T---"})
-    assert maps[t.parent[t.label.index("A")]] == ([0, 1, None], [None, 0, 1])
+    t = treelib.parse_newick("((k,l),m);")[0]
+    maps = treelib.node_maps(t, {"k": "C-T-", "l": "--TA", "m": "G---"})
+    assert maps[t.parent[t.label.index("k")]] == ([0, 1, None], [None, 0, 1])
     assert maps[t.root] == ([0, 1, 2], [0, None, None])
 
 
 def test_wrong_alphabet():
-    t = treelib.parse_newick("(A,B);")[0]
+    t = treelib.parse_newick("(k,l);")[0]
     with pytest.raises(ValueError, match="dna"):
-        costs.FitchCost(t, {"A": "EF", "B": "AC"}, DNA)
+        costs.FitchCost(t, {"k": "EF", "l": "AC"}, DNA)
+
+
+def test_best_moves(spark):
+    """Every prune place is a task of its own; its best move is that of trying all places."""
+    text, rows = "(((k:.1,l:.2):.1,(m:.3,n:.1):.2):.1,(o:.2,p:.1):.1);", dict(k="ACGTA", l="ACGTT", m="AGGTC", n="AGGTA", o="CCGTA", p="CCATA")
+    t = treelib.parse_newick(text)[0]
+    links = [(i, t.parent[i] if t.parent[i] >= 0 else None, t.children[t.parent[i]].index(i) if t.parent[i] >= 0 else None, t.label[i], t.blen[i]) for i in range(len(t))]
+    schema = (
+        "tree_id string, alphabet string, aligned boolean, rows array<struct<seq_id:string,residues:string>>, "
+        "nodes array<struct<node_id:int,parent_id:int,child_ord:int,label:string,blen:double>>"
+    )
+    got = fc.best_moves(spark.createDataFrame([("t", "dna", True, list(rows.items()), links)], schema)).collect()
+    cost = costs.SubstitutionCost(t, rows, models.make("JC69"))
+    base = cost.cost()
+    for r in got:
+        moves = [optimise.regraft_cost(cost, base, r.prune, place)[0] for place in treelib.regraft_places(cost.tree, r.prune)]
+        assert r.base == pytest.approx(base) and r.best == pytest.approx(max(moves))
+    assert {r.prune for r in got} == {i for i in range(len(t)) if i != t.root and t.parent[i] != t.root}
