@@ -107,11 +107,14 @@ def cut_pieces(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, span:
         return (np.zeros(0, np.int64),) * 4
     h = stretch_hashes(codes, seed)
     rec = np.repeat(np.arange(len(lengths)), lengths)
-    at = np.empty(n, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(h[: n + wide - 1], wide)
-    for i in range(0, n, 1 << 17):
-        at[i : i + (1 << 17)] = windows[i : i + (1 << 17)].argmin(axis=1)
-    at += np.arange(n)
+    # sliding minimum by doubling widths; the place in the low bits lets the leftmost of equal hashes win
+    low = np.uint64(len(codes).bit_length())
+    least, size = (h >> low << low) | np.arange(len(h), dtype=np.uint64), 1
+    while size * 2 <= wide:
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
+    if size < wide:
+        least = np.minimum(least[: len(least) - (wide - size)], least[wide - size :])
+    at = (least[:n] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     inside = np.flatnonzero(rec[:n] == rec[span - 1 :])
     if not len(inside):
         return (np.zeros(0, np.int64),) * 4
