@@ -21,11 +21,10 @@ from pyspark.sql import functions as F
 
 from cladeworks.session import broadcast_if_small, cut
 
-_LINK = re.compile(
-    r"""<a\s[^>]*>.*?</a>|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]*\]\([^)\s]*\)|(?:https?|hxxps?|ftp)://\S+|www\.\S+"""
-    r"""|[\w-]+\ [\[(]?[^\W\d_]{2,5}[\])]?\ [\w-]+(?:\ /\ [\w-]+)+""",
-    re.IGNORECASE | re.DOTALL,
-)  # the last form is an address spelled out: name dot domain / part / part
+_LINK = r"<a\s[^>]*>.*?</a>|\[url[^\]]*\].*?\[/url\]|\[[^\]\n]*\]\([^)\s]*\)|(?:https?|hxxps?|ftp)://\S+|www\.\S+"
+_SPELLED = r"[\w-]+\ [\[(]?[^\W\d_]{2,5}[\])]?\ [\w-]+(?:\ /\ [\w-]+)+"  # name dot domain / part / part
+_LINKS = {False: re.compile(_LINK, re.IGNORECASE | re.DOTALL), True: re.compile(f"{_LINK}|{_SPELLED}", re.IGNORECASE | re.DOTALL)}
+_MAYBE_LINK = re.compile(r"://|www\.|\]\(|<a\s|\[url", re.IGNORECASE)
 _MARK = "￼"
 _QUOTED = re.compile(r"^>[ ]?(.*(?:\n>.*)*)", re.MULTILINE)
 _BREAK = re.compile(r"<br\s*/?>|</?(?:p|div|li|ul|ol|h\d|tr|td)(?:\s[^>]*)?>|\r?\n", re.IGNORECASE)
@@ -54,14 +53,16 @@ def pieces(text: str | None) -> list[tuple[str, str, list[str]]]:
     """(kind, shape, lower-case words) of a text's pieces; kind is one of SURE_LISTS, sentence, items, repeats or open."""
     if not text:
         return []
-    text = unicodedata.normalize("NFKC", text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     out: list[tuple[str, str, list[str]]] = []
 
     def lift(m: re.Match) -> str:
         out.append(("link", "link", [w.lower() for w in _WORD.findall(m[0])]))
         return f" {_MARK} "
 
-    flat = _LINK.sub(lift, text)
+    spelled = " / " in text
+    flat = _LINKS[spelled].sub(lift, text) if spelled or _MAYBE_LINK.search(text) else text
     if ">" in flat:
         flat = _QUOTED.sub(lambda m: m[1].replace("\n>", " "), flat)  # a quoted passage is one line, however wrapped
     for raw in _BREAK.split(flat):
@@ -72,7 +73,7 @@ def pieces(text: str | None) -> list[tuple[str, str, list[str]]]:
             if not n:
                 continue
             words = [w.lower() for w in own]
-            links, tags, separators = piece.count(_MARK), len(_HASHTAG.findall(piece)), len(_SEPARATOR.findall(piece))
+            links, tags, separators = piece.count(_MARK), len(_HASHTAG.findall(piece)) if "#" in piece else 0, len(_SEPARATOR.findall(piece))
             capitals = sum(w[0].isupper() for w in own)
             distinct = len(set(words))
             ends = _ENDS.search(piece) is not None
@@ -100,8 +101,21 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("t"))
 
 
-def word_roles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(word, listed, plain) over all texts: how often each word stands in sure lists and in sure sentences."""
+_KIND = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64()), ("again", pa.bool_()), ("w", pa.list_(pa.string()))]))
+_SURE_KIND = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64())]))
+_READ = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("words", pa.int64()), ("tagged", pa.bool_()), ("sure", _SURE_KIND), ("rest", _KIND),
+     ("word", pa.string()), ("l", pa.int64()), ("p", pa.int64())]
+)
+_READ_SQL = (
+    "row long, doc_id long, words long, tagged boolean, sure array<struct<shape:string,n:bigint>>, "
+    "rest array<struct<shape:string,n:bigint,again:boolean,w:array<string>>>, word string, l long, p long"
+)
+
+
+def read_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One pass over the texts: a row for each, with its sure lists and, where they can turn its verdict, its other pieces;
+    and rows (word, l, p) of how often a word stands in lists and in sentences, added up per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed: Counter[str] = Counter()
@@ -109,68 +123,61 @@ def word_roles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
         def flush() -> pa.RecordBatch:
             words = list(listed.keys() | plain.keys())
-            out = pa.RecordBatch.from_pydict(
-                {"word": pa.array(words, pa.string()), "l": pa.array([listed[w] for w in words], pa.int64()), "p": pa.array([plain[w] for w in words], pa.int64())}
-            )
+            cols = [pa.nulls(len(words), f.type) for f in _READ][:6]
+            cols += [pa.array(words, pa.string()), pa.array([listed[w] for w in words], pa.int64()), pa.array([plain[w] for w in words], pa.int64())]
             listed.clear()
             plain.clear()
-            return out
+            return pa.RecordBatch.from_arrays(cols, schema=_READ)
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                for kind, _, words in pieces(t):
-                    if kind == "sentence":
-                        plain.update(words)
-                    elif kind in ("label", "tags", "items", "repeats"):  # not the words of addresses
-                        listed.update(words)
-            if len(listed) + len(plain) > 500_000:
-                yield flush()
-        yield flush()
-
-    counts = _texts(docs, doc_id, text).select("t").mapInArrow(run, "word string, l long, p long")
-    return counts.groupBy("word").agg(F.sum("l").alias("listed"), F.sum("p").alias("plain"))
-
-
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, words, listed, top_shapes, stuffed) of every text.
-
-    listed: words in links and lists; top_shapes: the share of them that the text's three largest list shapes hold;
-    stuffed: listed words are more than half, and at least SHORT of them unless they are links or tags. Null and empty
-    texts have 0 words and are not stuffed; neither are short remarks. Each row is judged by itself, whatever its id, but
-    by the word roles of the whole table. Only pieces that can turn a text's verdict are joined with the roles.
-    """
-    kind = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64()), ("again", pa.bool_()), ("w", pa.list_(pa.string()))]))
-    sure_kind = pa.list_(pa.struct([("shape", pa.string()), ("n", pa.int64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             total, sure, undecided, tagged = [], [], [], []
             for t in b.column(2).to_pylist():
                 found = pieces(t)
                 lists: Counter[str] = Counter()
                 for k, shape, w in found:
+                    if k == "sentence":
+                        plain.update(w)
+                    elif k != "open" and k != "link":  # not the words of addresses
+                        listed.update(w)
                     if k in SURE_LISTS:
                         lists[f"{k} {shape}" if k != "link" else k] += len(w)
-                rest = [{"shape": s, "n": len(w), "again": k != "open", "w": w} for k, s, w in found if k in ("open", "items", "repeats")]
                 n, m = sum(len(w) for *_, w in found), sum(lists.values())
+                rest = [{"shape": s, "n": len(w), "again": k != "open", "w": w} for k, s, w in found if k in ("open", "items", "repeats")]
                 total.append(n)
                 sure.append([{"shape": s, "n": c} for s, c in lists.items()])
                 undecided.append(rest if 2 * m <= n < 2 * (m + sum(x["n"] for x in rest)) else [])
                 tagged.append(any(k in ("link", "tags") for k, *_ in found))
+            none = [pa.nulls(len(total), f.type) for f in _READ][6:]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(tagged, pa.bool_()), pa.array(sure, sure_kind), pa.array(undecided, kind)],
-                names=["row", "doc_id", "words", "tagged", "sure", "rest"],
+                [b.column(0), b.column(1), pa.array(total, pa.int64()), pa.array(tagged, pa.bool_()), pa.array(sure, _SURE_KIND), pa.array(undecided, _KIND), *none],
+                schema=_READ,
             )
+            if len(listed) + len(plain) > 500_000:
+                yield flush()
+        yield flush()
 
-    schema = (
-        "row long, doc_id long, words long, tagged boolean, sure array<struct<shape:string,n:bigint>>, "
-        "rest array<struct<shape:string,n:bigint,again:boolean,w:array<string>>>"
-    )
     numbered = _texts(docs, doc_id, text).select(F.monotonically_increasing_id().alias("row"), "doc_id", "t")
-    read = cut(numbered.mapInArrow(run, schema))
+    return numbered.mapInArrow(run, _READ_SQL)
+
+
+def word_roles(read: DataFrame) -> DataFrame:
+    """(word, listed, plain) of read_texts: how often each word stands in sure lists and in sure sentences of all texts."""
+    return read.where("word is not null").groupBy("word").agg(F.sum("l").alias("listed"), F.sum("p").alias("plain"))
+
+
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, words, listed, top_shapes, stuffed) of every text.
+
+    listed: words in links and lists; top_shapes: the share of them that the text's three largest list shapes hold;
+    stuffed: listed words are more than half, and at least SHORT of them unless they are links or tags. Null and empty
+    texts have 0 words and are not stuffed; neither are short remarks. Each row is judged by itself, whatever its id, but
+    by the word roles of the whole table. Only pieces that can turn a text's verdict are joined with the roles.
+    """
+    everything = cut(read_texts(docs, doc_id, text))
+    read = everything.where("row is not null")
     open_ = read.where(F.size("rest") > 0).select("row", F.posexplode("rest").alias("piece", "p"))
     each = open_.select("row", "piece", "p.shape", "p.n", "p.again", F.explode("p.w").alias("word"))
-    roles = word_roles(docs, doc_id, text).where(F.col("listed") + F.col("plain") >= KNOWN_IN)
+    roles = word_roles(everything).where(F.col("listed") + F.col("plain") >= KNOWN_IN)
     weights = roles.select("word", (F.col("listed") / (F.col("listed") + F.col("plain"))).alias("weight"))
     met = each.join(broadcast_if_small(cut(weights), BROADCAST_WORDS), "word", "left")
     scored = met.groupBy("row", "piece", "shape", "n", "again").agg(
