@@ -88,6 +88,16 @@ def dollo(cut_: DataFrame, mismatch: float = 1.0, gap_open: float = 1.0, gap_ext
     return block_costs(cut_, lambda t, r, a: costs.DolloCost(t, r, a, costs.SimpleScoring(mismatch, gap_open, gap_ext)), "parsimony")
 
 
+def dollo_by_model(cut_: DataFrame, dna: str = "JC69", protein: str = "WAG", times=(0.05, 0.1, 0.3, 0.5, 0.7), gap_open: float = 2.5, gap_ext: float = 1.0) -> DataFrame:
+    """Dollo cost with mismatches and gaps priced by a model's tables at the time nearest to each branch."""
+
+    def build(tree, rows, alphabet):
+        model = models.make(dna if alphabet.name == "dna" else protein)
+        return costs.DolloCost(tree, rows, alphabet, costs.ModelScoring(model, list(times), gap_open, gap_ext))
+
+    return block_costs(cut_, build, "parsimony")
+
+
 def log_likelihood(cut_: DataFrame, dna: str = "JC69", protein: str = "WAG", freqs=None, params=()) -> DataFrame:
     """Substitution log-likelihood with one model for each alphabet; freqs and params are those of the dna model."""
 
@@ -185,7 +195,9 @@ def optimised(families: DataFrame, what: str, dna: str = "K80", protein: str = "
 
     def fn(tree, rows, alphabet):
         name = dna if alphabet.name == "dna" else protein
-        cost = costs.FitchCost(tree, rows, alphabet) if what == "parsimony" else costs.SubstitutionCost(tree, rows, models.make(name))
+        model = models.make(name)
+        likelihood = costs.IndelCost if name.upper().startswith("PIP-") else costs.SubstitutionCost
+        cost = costs.FitchCost(tree, rows, alphabet) if what == "parsimony" else likelihood(tree, rows, model)
         if not cost.columns:
             return []
         go_on = optimise.fixed_rounds(rounds) if rounds else None
@@ -201,9 +213,10 @@ def optimised(families: DataFrame, what: str, dna: str = "K80", protein: str = "
     return per_family(families.where("aligned"), fn, "tree_id string, initial double, final double, rounds int, newick string")
 
 
-def best_moves(families: DataFrame, dna: str = "JC69", protein: str = "WAG") -> DataFrame:
-    """(tree_id, base, prune, best): for each prune place of each aligned family the cost of its best regraft; every place
-    is a row, and thus a task's work, of its own."""
+def best_moves(families: DataFrame, what: str = "likelihood", dna: str = "JC69", protein: str = "WAG") -> DataFrame:
+    """(tree_id, base, prune, best): for each prune place of each aligned family the cost of its best regraft, by
+    ``likelihood`` or ``parsimony``; every place is a row, and thus a task's work, of its own. Trees that are not binary
+    have no row."""
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -224,8 +237,11 @@ def best_moves(families: DataFrame, dna: str = "JC69", protein: str = "WAG") ->
             out = []
             for tree_id, prune, alphabet, rows, nodes in zip(b["tree_id"], b["prune"], b["alphabet"], b["rows"], b["nodes"], strict=True):
                 tree = treelib.from_links(links_of(nodes))
-                name = dna if alphabet == "dna" else protein
-                cost = costs.SubstitutionCost(tree, {r["seq_id"]: r["residues"] for r in rows}, models.make(name))
+                texts = {r["seq_id"]: r["residues"] for r in rows}
+                if what == "parsimony":
+                    cost = costs.FitchCost(tree, texts, BY_NAME[alphabet])
+                else:
+                    cost = costs.SubstitutionCost(tree, texts, models.make(dna if alphabet == "dna" else protein))
                 base = cost.cost()
                 move = optimise.best_regraft(cost, base, int(prune))
                 if move:

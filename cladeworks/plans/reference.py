@@ -268,6 +268,11 @@ def dollo_score(spark, d):
     return fc.dollo(_blocks(spark, d)).select("tree_id", (-F.col("cost")).cast("long").alias("score"))
 
 
+def dollo_model_score(spark, d):
+    found = fc.dollo_by_model(_blocks(spark, d).where("alphabet = 'dna'"), "JC69", times=TIMES)
+    return found.select("tree_id", F.round(-F.col("cost"), 4).alias("score"))
+
+
 def jc69_loglik(spark, d):
     found = fc.log_likelihood(_blocks(spark, d).where("alphabet = 'dna'"))
     return found.select("tree_id", F.round("cost", 4).alias("logl"))
@@ -314,6 +319,26 @@ def parsimony_search(spark, d):
     return fc.optimised(_families(spark, d), "parsimony")
 
 
+def topology_search(spark, d):
+    """Rearrangements and branches under likelihood, JC69 or WAG, until a round gains nothing."""
+    return fc.optimised(_families(spark, d), "topology", "JC69")
+
+
+def tree_inference(spark, d):
+    """Model and topology by turns from each family's tree, K80 or WAG with the data's frequencies."""
+    return fc.optimised(_families(spark, d), "all", "K80")
+
+
+def indel_optimise(spark, d):
+    """Insertion and deletion rates of the indel process, fitted to each family."""
+    return fc.optimised(_families(spark, d), "model", "PIP-K80", "PIP-WAG")
+
+
+def best_moves(spark, d):
+    """The best regraft of every prune place by parsimony."""
+    return fc.best_moves(_families(spark, d), "parsimony")
+
+
 def node_relations(spark, d):
     return to.relations(_nodes(spark, d))
 
@@ -337,8 +362,8 @@ _FUNCTIONS = (
     fasta_normalise, family_alphabets, gapless, gap_columns, remove_gap_columns, align_map, align_map_roundtrip, symbol_counts,
     empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, nj_branches, rf_to_nj,
     tree_checks, tree_facts, blen_percentiles, leaf_descendants, partitions, spr_moves, traversals, newick_roundtrip, nearest_time,
-    model_scoring, jc69_p, k80_p, model_rates, site_patterns, fitch_score, dollo_score, jc69_loglik, model_loglik, indel_loglik, stirling,
-    indel_alignment, branch_optimise, model_optimise, parsimony_search,
+    model_scoring, jc69_p, k80_p, model_rates, site_patterns, fitch_score, dollo_score, dollo_model_score, best_moves, jc69_loglik, model_loglik, indel_loglik, stirling,
+    indel_alignment, branch_optimise, model_optimise, indel_optimise, parsimony_search, topology_search, tree_inference,
 )
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
 
@@ -449,6 +474,16 @@ _DOLLO = _upward(
        x.gap, x.n + y.n, x.total,
        x.k + y.k + CASE WHEN x.mask & y.mask <> 0 OR x.n = x.total OR y.n = x.total THEN 0 ELSE 1 END::BIGINT""",
 )
+_NEAREST = "list_sort(list_transform([" + ", ".join(f"{t}::DOUBLE" for t in TIMES) + "], lambda t: {'o': abs(p.b - t), 't': t}))[1].t"
+_SAME, _OTHER = f"-ln(0.25 + 0.75::DOUBLE * exp(-4.0::DOUBLE / 3 * {_NEAREST}))", f"-ln(0.25 - 0.25::DOUBLE * exp(-4.0::DOUBLE / 3 * {_NEAREST}))"
+_DOLLO_MODEL = _upward(
+    "mask, gap, n, total, 0.0::DOUBLE AS k",
+    "mask, gap, n, total, k",
+    f"""CASE WHEN x.mask & y.mask <> 0 THEN x.mask & y.mask WHEN x.n = x.total OR y.n = x.total THEN x.gap ELSE (x.mask | y.mask) & ~x.gap END,
+       x.gap, x.n + y.n, x.total,
+       x.k + y.k + CASE WHEN x.mask & y.mask = x.gap THEN 0 WHEN x.mask & y.mask <> 0 THEN {_SAME} WHEN x.n = x.total OR y.n = x.total THEN 0
+         WHEN x.mask = x.gap OR y.mask = x.gap THEN 2.5::DOUBLE * ({_SAME} + 3 * {_OTHER}) / 4 ELSE {_OTHER} END""",
+)
 _V = [f"CASE WHEN mask = {DNA.gap_mask} OR mask & {1 << i} <> 0 THEN 1.0::DOUBLE ELSE 0.0 END" for i in range(4)]
 _SUM = "(" + " + ".join(_V) + ")"
 _LEAF = ", ".join(f"exp(-4.0::DOUBLE / 3 * b) * ({v}) + (1 - exp(-4.0::DOUBLE / 3 * b)) / 4 * {_SUM} AS l{i}" for i, v in enumerate(_V))
@@ -556,6 +591,8 @@ ORACLES = {
       SELECT tree_id, count(*) AS columns, count(DISTINCT p) AS patterns FROM p WHERE regexp_matches(p, '[^-]') GROUP BY tree_id""",
     "fitch_score": f"WITH RECURSIVE {_ALIGNED}, {_MASKS}, {_FITCH} SELECT tree_id, sum(k)::BIGINT AS score, count(*) AS columns FROM ends GROUP BY tree_id",
     "dollo_score": f"WITH RECURSIVE {_ALIGNED}, {_MASKS}, {_DOLLO} SELECT tree_id, sum(k)::BIGINT AS score FROM ends GROUP BY tree_id",
+    "dollo_model_score": f"""WITH RECURSIVE {_ALIGNED}, {_MASKS}, {_DOLLO_MODEL}
+      SELECT tree_id, round(sum(k), 4) AS score FROM ends SEMI JOIN (SELECT tree_id FROM fit WHERE dna) USING (tree_id) GROUP BY tree_id""",
     "jc69_loglik": f"""WITH RECURSIVE {_ALIGNED}, {_MASKS}, {_JC69}
       SELECT tree_id, round(sum(ln((l0 + l1 + l2 + l3) / 4)), 4) AS logl FROM ends SEMI JOIN (SELECT tree_id FROM fit WHERE dna) USING (tree_id) GROUP BY tree_id""",
     "stirling": f"""WITH {_SEQ}, {_FACTS}, n AS (SELECT family_id, longest::DOUBLE AS n FROM facts WHERE longest > 0)

@@ -2,10 +2,13 @@
 
 import pytest
 
-from cladeworks.functions import costs, models, optimise, treelib
+from cladeworks.functions import costs, models, optimise, protocols, treelib
 from cladeworks.functions.alphabet import DNA
+from cladeworks.functions.indel_align import ParsimonyAligner
 from cladeworks.operators import family_costs as fc
+from cladeworks.operators import sequence_ops as so
 from cladeworks.plans.load import load_family
+from cladeworks.tables import nodes_in_force
 
 
 def test_load(spark, tmp_path):
@@ -39,16 +42,63 @@ def test_wrong_alphabet():
         costs.FitchCost(t, {"k": "EF", "l": "AC"}, DNA)
 
 
-def test_best_moves(spark):
-    """Every prune place is a task of its own; its best move is that of trying all places."""
-    text, rows = "(((k:.1,l:.2):.1,(m:.3,n:.1):.2):.1,(o:.2,p:.1):.1);", dict(k="ACGTA", l="ACGTT", m="AGGTC", n="AGGTA", o="CCGTA", p="CCATA")
-    t = treelib.parse_newick(text)[0]
+def test_protocols():
+    assert isinstance(ParsimonyAligner(costs.SimpleScoring()), protocols.Aligner)
+    assert isinstance(costs.SimpleScoring(), protocols.Scoring) and isinstance(costs.ModelScoring(models.make("JC69"), [0.1]), protocols.Scoring)
+    assert isinstance(models.make("GTR"), protocols.SubstitutionModel) and isinstance(models.make("PIP-WAG"), protocols.SubstitutionModel)
+    t = treelib.parse_newick("(k:1,l:1);")[0]
+    cost = costs.SubstitutionCost(t, {"k": "A", "l": "C"}, models.make("K80"))
+    assert isinstance(cost, protocols.TreeSearchCost) and isinstance(cost, protocols.ModelSearchCost)
+    assert isinstance(costs.FitchCost(t, {"k": "A", "l": "C"}, DNA), protocols.TreeSearchCost)
+
+
+def family(spark, t, rows, aligned=True):
     links = [(i, t.parent[i] if t.parent[i] >= 0 else None, t.children[t.parent[i]].index(i) if t.parent[i] >= 0 else None, t.label[i], t.blen[i]) for i in range(len(t))]
     schema = (
         "tree_id string, alphabet string, aligned boolean, rows array<struct<seq_id:string,residues:string>>, "
         "nodes array<struct<node_id:int,parent_id:int,child_ord:int,label:string,blen:double>>"
     )
-    got = fc.best_moves(spark.createDataFrame([("t", "dna", True, list(rows.items()), links)], schema)).collect()
+    return spark.createDataFrame([("t", "dna", aligned, list(rows.items()), links)], schema)
+
+
+def test_own_aligner(spark):
+    class Padded:
+        """An aligner of one's own: rows filled up with gaps."""
+
+        def align(self, tree, rows, alphabet):
+            width = max(map(len, rows.values()))
+            return {k: v.ljust(width, "-") for k, v in rows.items()}
+
+    t = treelib.parse_newick("((k:1,l:1):1,m:1);")[0]
+    rows = {"k": "ACGT", "l": "AC", "m": "A"}
+    got = {r.seq_id: r.residues for r in fc.aligned_rows(family(spark, t, rows, False), aligner=Padded()).collect()}
+    assert got == {"k": "ACGT", "l": "AC--", "m": "A---"}
+
+
+def test_rows_below_any_node(spark):
+    """Columns that are gaps in all rows below a node go, wherever the node lies."""
+    nodes = spark.createDataFrame(
+        [("f_t0", i, p, 0, leaf, x, 1.0, "2024") for i, p, leaf, x in ((0, None, False, ""), (1, 0, False, ""), (2, 1, True, "k"), (3, 1, True, "l"), (4, 0, True, "m"))],
+        "tree_id string, node_id int, parent_id int, child_ord int, is_leaf boolean, label string, blen double, loaded_at string",
+    )
+    seqs = spark.createDataFrame([(i, "f", i, x, "", r) for i, (x, r) in enumerate((("k", "A--C"), ("l", "G--T"), ("m", "ACG-")))], "record_id long, family_id string, ord int, seq_id string, descr string, residues string")
+    wanted = spark.createDataFrame([("f_t0", 1), ("f_t0", 4), ("f_t0", 0)], "tree_id string, node_id int")
+    got = {(r.node_id, r.seq_id): r.residues for r in fc.subtree_alignments(seqs, nodes, nodes_in_force(nodes), wanted).collect()}
+    assert got == {(1, "k"): "AC", (1, "l"): "GT", (4, "m"): "ACG", (0, "k"): "A--C", (0, "l"): "G--T", (0, "m"): "ACG-"}
+    assert so.record_by_id(seqs, "l").collect()[0].residues == "G--T" and so.record_by_id(seqs, "zz").count() == 0
+    assert so.as_fasta(seqs.where("seq_id = 'k'")).first().text == ">k \nA--C\n"
+
+
+def test_best_moves(spark):
+    """Every prune place is a task of its own; its best move is that of trying all places."""
+    text, rows = "(((k:.1,l:.2):.1,(m:.3,n:.1):.2):.1,(o:.2,p:.1):.1);", dict(k="ACGTA", l="ACGTT", m="AGGTC", n="AGGTA", o="CCGTA", p="CCATA")
+    t = treelib.parse_newick(text)[0]
+    own = family(spark, t, rows)
+    got = fc.best_moves(own).collect()
+    fitch = {r.prune: (r.base, r.best) for r in fc.best_moves(own, "parsimony").collect()}
+    plain = costs.FitchCost(t, rows, DNA)
+    for prune, (base, best) in fitch.items():
+        assert base == plain.cost() and best == max(costs.FitchCost(treelib.spr(t, prune, x), rows, DNA).cost() for x in treelib.regraft_places(t, prune))
     cost = costs.SubstitutionCost(t, rows, models.make("JC69"))
     base = cost.cost()
     for r in got:
