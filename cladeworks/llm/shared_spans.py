@@ -226,7 +226,11 @@ def shared_spans(sequences: DataFrame, span: int = SPAN, shard: int = SHARD, **c
         .groupBy("rep", "island")
         .agg(F.min("f").alias("span_from"), F.max("t").alias("span_to"))
     )
-    return members.join(islands, "rep").select("record_id", "span_from", "span_to"), recs
+    own = islands.select(F.col("rep").alias("record_id"), "span_from", "span_to")
+    # the other records of a text with copies are shared as a whole: nothing has to be joined by a text that may be hot
+    others = members.where("record_id <> rep").select("record_id").join(recs, "record_id")
+    whole = others.select("record_id", F.lit(0).cast("long").alias("span_from"), F.length("letters").cast("long").alias("span_to"))
+    return own.unionByName(whole), recs
 
 
 def without_shared(spans: DataFrame, recs: DataFrame) -> DataFrame:
