@@ -194,6 +194,33 @@ class FitchCost(Cost):
     def cost(self) -> float:
         return -float(self.weights @ self.walk()[1])
 
+    def regraft_costs(self, prune: int, places: list[int]) -> list[float]:
+        """The cost of each place's tree, all in one pass: what is left of the tree has the same cost seen from any branch,
+        and hanging the pruned part there costs a change where the sets on both sides of the branch share nothing with it."""
+        self.walk()
+        tree, join = self.tree, lambda x, y: np.where((x & y) == 0, x | y, x & y)
+        joint, other = tree.parent[prune], tree.sibling(prune)
+        kids = {i: [other if k == joint else k for k in tree.children[i]] for i in (tree.parent[joint],)}
+        of = lambda i: kids.get(i, tree.children[i])
+        below = {i: kept[0] for i, kept in self.kept.items()}
+        changes = {i: kept[1] for i, kept in self.kept.items()}
+        i = tree.parent[joint]
+        while i >= 0:  # the nodes above the joint see the tree without the pruned part
+            x, y = of(i)
+            below[i], changes[i] = join(below[x], below[y]), changes[x] + changes[y] + ((below[x] & below[y]) == 0)
+            i = tree.parent[i]
+        above: dict[int, np.ndarray] = {}
+        stack = [tree.root]
+        while stack:
+            i = stack.pop()
+            pair = of(i)
+            for k, beside in zip(pair, reversed(pair), strict=True):
+                above[k] = below[beside] if i == tree.root else join(above[i], below[beside])
+                stack.append(k)
+        own = below[prune]
+        base = float(self.weights @ (changes[tree.root] + changes[prune]))
+        return [-(base + float(self.weights @ ((join(above[p], below[p]) & own) == 0))) for p in places]
+
 
 class SimpleScoring:
     """Equal mismatch cost, gap costs as multiples of it, branch lengths ignored."""

@@ -152,7 +152,7 @@ def edit_distance(masks: dict[str, int], n: int, text: str) -> int:
     return score
 
 
-def pair_distances(rows: DataFrame, cell: int = 48) -> DataFrame:
+def pair_distances(rows: DataFrame, cell: int = 16) -> DataFrame:
     """(tree_id, a, b, edits, distance) for all pairs of a tree's leaves (tree_id, seq_id, residues), a before b by name.
 
     Rows are compared as given, gaps included, by edit distance with the Jukes-Cantor correction, saturated just below

@@ -377,6 +377,18 @@ def test_topology_searches_find_the_best_tree():
     assert both.final >= finals[0] - 1e-2 and treelib.robinson_foulds(both.cost.tree, true) == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_all_regrafts_at_once(seed):
+    rng = random.Random(seed)
+    tree = random_tree(rng, 9)
+    rows = {tree.label[i]: "".join(rng.choice("TCAGY-") for _ in range(30)) for i in tree.leaves()}
+    cost = costs.FitchCost(tree, rows, DNA)
+    for prune in tree.preorder():
+        if prune != tree.root and tree.parent[prune] != tree.root:
+            places = treelib.regraft_places(tree, prune)
+            assert cost.regraft_costs(prune, places) == [costs.FitchCost(treelib.spr(tree, prune, p), rows, DNA).cost() for p in places]
+
+
 def test_empirical_freqs():
     got = costs.empirical_freqs(["AAG-", "R"], DNA)
     assert got == pytest.approx([1 / 6, 1 / 6, 2.5 / 6, 1.5 / 6])
