@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from cladeworks.operators import sequence_ops as so
 from cladeworks.operators import tree_ops as to
 from cladeworks.plans import oracles as osql
 from cladeworks.plans.general import _FORCE
-from cladeworks.session import table
+from cladeworks.session import shared_folder, table
 from cladeworks.sources import tree_files
 from cladeworks.streaming import symbol_windows as sw
 from cladeworks.tables import family_facts, nodes_in_force, one_per_name, sequences_in_force
@@ -357,7 +359,53 @@ def stream_symbol_windows(spark, d):
     return found.withColumn("begins", F.unix_seconds("begins"))
 
 
+def _fresh_path(spark) -> str:
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+def fasta_roundtrip(spark, d):
+    """All records written as FASTA files and read again."""
+    path = _fresh_path(spark)
+    tree_files.write_fasta(_seqs(spark, d).withColumn("descr", F.lit("a>b")), path)
+    return tree_files.read_fasta(spark, path, strict=False).select("seq_id", "descr", "residues")
+
+
+def newick_files(spark, d):
+    """All binary trees written as Newick files and read again."""
+    path = _fresh_path(spark)
+    tree_files.write_newick(to.newick(to.tree_rows(_nodes(spark, d))), path)
+    nodes = tree_files.read_newick(spark, path)
+    sums = nodes.groupBy("key", "tree").agg(F.count(F.lit(1)).alias("nodes"), F.count_if("is_leaf").alias("leaves"), F.round(F.sum("blen"), 4).alias("height"))
+    return sums.select("nodes", "leaves", "height")
+
+
+def fasta_display(spark, d):
+    return so.as_fasta(so.gapless(_seqs(spark, d)))
+
+
+def record_lookup(spark, d):
+    """The records of one name, the first of each family."""
+    seqs = _seqs(spark, d)
+    name = seqs.agg(F.min("seq_id")).first()[0]
+    return so.record_by_id(seqs, name or "").select("family_id", "record_id", "seq_id", "residues")
+
+
+def rounded_scoring(spark, d):
+    """Costs of a model's tables rounded to two places, half away from zero."""
+
+    def fn(lengths):
+        scoring = costs.ModelScoring(models.make("K80", None, [2.0]), list(TIMES), digits=2)
+        a, g, t = DNA.mask("A"), DNA.mask("G"), DNA.mask("T")
+        return {
+            "same": [round(scoring.min_match(b, a, a), 6) for b in lengths], "transition": [round(scoring.min_match(b, a, g), 6) for b in lengths],
+            "transversion": [round(scoring.min_match(b, a, t), 6) for b in lengths],
+        }
+
+    return _by_branch(spark, d, fn, "same double, transition double, transversion double")
+
+
 _FUNCTIONS = (
+    fasta_roundtrip, newick_files, fasta_display, record_lookup, rounded_scoring,
     stream_symbol_windows, node_relations, subtree_alignments, node_maps,
     fasta_normalise, family_alphabets, gapless, gap_columns, remove_gap_columns, align_map, align_map_roundtrip, symbol_counts,
     empirical_freqs, symbol_sets, tip_problems, pair_distances, distance_row_sums, nj_q_matrix, nj_first_pair, nj_tree, nj_branches, rf_to_nj,
@@ -493,6 +541,18 @@ _JC69 = _upward(
 )
 
 ORACLES = {
+    "fasta_roundtrip": f"WITH {_SEQ} SELECT regexp_extract(seq_id, '^\\S*') AS seq_id, 'a>b' AS descr, residues FROM seq",
+    "newick_files": f"""WITH RECURSIVE {_TREES}, {_BINARY}
+      SELECT nodes, leaves, height FROM (SELECT tree_id, count(*) AS nodes, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM kid WHERE kid.tree_id = nod.tree_id AND kid.up = nod.node_id)) AS leaves,
+      round(sum(b), 4) AS height FROM nod SEMI JOIN bin USING (tree_id) GROUP BY tree_id)""",
+    "fasta_display": f"""WITH {_SEQ} SELECT seq_id, '>' || seq_id || coalesce(' ' || descr, '') || chr(10) || replace(residues, '-', '') || chr(10) AS text FROM seq""",
+    "record_lookup": f"""WITH {_SEQ} SELECT family_id, record_id, seq_id, residues FROM (SELECT *, row_number() OVER (PARTITION BY family_id ORDER BY record_id) AS rn
+      FROM seq WHERE seq_id = (SELECT min(seq_id) FROM seq)) WHERE rn = 1""",
+    "rounded_scoring": f"""WITH RECURSIVE {_TREES}, t(t) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in TIMES)}),
+      r AS (SELECT tree_id, node_id, t, row_number() OVER (PARTITION BY tree_id, node_id ORDER BY abs(b - t), t) AS rn FROM nod, t),
+      e AS (SELECT tree_id, node_id, exp(-t) AS e1, exp(-t * 1.5::DOUBLE) AS e2 FROM r WHERE rn = 1)
+      SELECT tree_id, node_id, round(-ln(0.25 + 0.25::DOUBLE * e1 + 0.5::DOUBLE * e2), 2) AS same, round(-ln(0.25 + 0.25::DOUBLE * e1 - 0.5::DOUBLE * e2), 2) AS transition,
+        round(-ln(0.25 - 0.25::DOUBLE * e1), 2) AS transversion FROM e""",
     "node_relations": f"""WITH RECURSIVE {_TREES}, k AS (SELECT tree_id, up, count(*) AS n FROM link WHERE up IS NOT NULL GROUP BY tree_id, up)
       SELECT l.tree_id, l.node_id, l.up AS parent, CASE WHEN k.n = 2 THEN s.node_id END AS sibling, coalesce(c.n, 0) AS children
       FROM link l LEFT JOIN k ON k.tree_id = l.tree_id AND k.up = l.up LEFT JOIN k c ON c.tree_id = l.tree_id AND c.up = l.node_id
