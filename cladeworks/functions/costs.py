@@ -88,10 +88,16 @@ class SubstitutionCost(Cost):
         kids = self.tree.children[i]
         if kids:
             (x, lx), (y, ly) = self.kept[kids[0]], self.kept[kids[1]]
-            part, log = x * y, lx + ly
-        else:
-            part, log = self.table[self.codes[self.tree.label[i]]].T, np.zeros(len(self.weights))
-        part = self.model.p(self.tree.blen[i]) @ part
+            return self._along(self.tree.blen[i], x * y, lx + ly)
+        return self._along(self.tree.blen[i], self._leaf(i), np.zeros(len(self.weights)))
+
+    def _leaf(self, i: int) -> np.ndarray:
+        return self.table[self.codes[self.tree.label[i]]].T
+
+    def _along(self, b: float, part: np.ndarray, log: np.ndarray, down: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Partials at a branch's other end, rescaled where they become tiny; down goes from its upper to its lower end."""
+        p = self.model.p(b)
+        part = (p.T if down else p) @ part
         top = part.max(0, initial=0.0)
         low = (top < 1e-100) & (top > 0)
         if low.any():
@@ -104,6 +110,60 @@ class SubstitutionCost(Cost):
         with np.errstate(divide="ignore"):
             return float(self.weights @ (np.log(self.model.freqs @ part) + log)) if self.columns else 0.0
 
+    def regraft_costs(self, prune: int, places: list[int], base: float | None = None) -> list[tuple[float, float | None]]:
+        """(cost, length of the regraft branch or None) of each place's tree, in one pass over what is left of the tree.
+
+        Partials from below and from above meet in the middle of each branch with those of the pruned part. Where that
+        does not beat base, the lower half of the branch is optimised, for which only its own transition matrix changes.
+        """
+        self.walk()
+        tree = self.tree
+        joint, other = tree.parent[prune], tree.sibling(prune)
+        upper = tree.parent[joint]
+        of = lambda i: [other if k == joint else k for k in tree.children[i]] if i == upper else tree.children[i]
+        below = dict(self.kept)
+        below[other] = self._along(tree.blen[joint], *self.kept[other])  # its branch takes over the joint's
+        length = {other: tree.blen[other] + tree.blen[joint]}
+        i = upper
+        while i >= 0:
+            (x, lx), (y, ly) = (below[k] for k in of(i))
+            below[i] = self._along(tree.blen[i], x * y, lx + ly)
+            i = tree.parent[i]
+        above: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        stack = [(tree.root, np.repeat(self.model.freqs[:, None], len(self.weights), 1), np.zeros(len(self.weights)))]
+        while stack:
+            i, part, log = stack.pop()
+            pair = of(i)
+            for k, beside in zip(pair, reversed(pair), strict=True):
+                x, lx = below[beside]
+                above[k] = (part * x, log + lx)
+                stack.append((k, *self._along(length.get(k, tree.blen[k]), *above[k], down=True)))
+        own, own_log = self.kept[prune]
+        out = []
+        for place in places:
+            half = length.get(place, tree.blen[place]) / 2
+            (x, lx), (y, ly) = (below[k] for k in of(place)) if tree.children[place] else ((self._leaf(place), 0.0), (1.0, 0.0))
+            inner = x * y
+            part, log = self._along(half, *above[place], down=True)
+            outer, log = part * own, log + own_log + lx + ly
+
+            def at(b: float, outer=outer, inner=inner, log=log) -> float:
+                with np.errstate(divide="ignore"):
+                    return float(self.weights @ (np.log((outer * (self.model.p(b) @ inner)).sum(0)) + log)) if self.columns else 0.0
+
+            out.append(self._best_half(at, half, base))
+        return out
+
+    @staticmethod
+    def _best_half(at, half: float, base: float | None) -> tuple[float, float | None]:
+        from cladeworks.functions.optimise import branch_range, brent
+
+        value = at(half)
+        if base is None or value > base:
+            return value, None
+        b, less = brent(lambda x: math.inf if math.isnan(v := at(x)) else -v, *branch_range(half))
+        return (-less, b) if -less > value else (value, None)
+
     @property
     def params(self) -> list[float]:
         return self.model.params
@@ -194,8 +254,8 @@ class FitchCost(Cost):
     def cost(self) -> float:
         return -float(self.weights @ self.walk()[1])
 
-    def regraft_costs(self, prune: int, places: list[int]) -> list[float]:
-        """The cost of each place's tree, all in one pass: what is left of the tree has the same cost seen from any branch,
+    def regraft_costs(self, prune: int, places: list[int], base: float | None = None) -> list[tuple[float, float | None]]:
+        """(cost, None) of each place's tree, all in one pass: what is left of the tree has the same cost seen from any branch,
         and hanging the pruned part there costs a change where the sets on both sides of the branch share nothing with it."""
         self.walk()
         tree, join = self.tree, lambda x, y: np.where((x & y) == 0, x | y, x & y)
@@ -218,8 +278,8 @@ class FitchCost(Cost):
                 above[k] = below[beside] if i == tree.root else join(above[i], below[beside])
                 stack.append(k)
         own = below[prune]
-        base = float(self.weights @ (changes[tree.root] + changes[prune]))
-        return [-(base + float(self.weights @ ((join(above[p], below[p]) & own) == 0))) for p in places]
+        least = float(self.weights @ (changes[tree.root] + changes[prune]))
+        return [(-(least + float(self.weights @ ((join(above[p], below[p]) & own) == 0))), None) for p in places]
 
 
 class SimpleScoring:

@@ -386,7 +386,26 @@ def test_all_regrafts_at_once(seed):
     for prune in tree.preorder():
         if prune != tree.root and tree.parent[prune] != tree.root:
             places = treelib.regraft_places(tree, prune)
-            assert cost.regraft_costs(prune, places) == [costs.FitchCost(treelib.spr(tree, prune, p), rows, DNA).cost() for p in places]
+            assert [v for v, _ in cost.regraft_costs(prune, places)] == [costs.FitchCost(treelib.spr(tree, prune, p), rows, DNA).cost() for p in places]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_all_likelihood_regrafts_at_once(seed):
+    """The same costs and branch lengths as trees that are made and evaluated one by one."""
+    rng = random.Random(seed)
+    tree = random_tree(rng, 8)
+    rows = {tree.label[i]: "".join(rng.choice("TCAGY-") for _ in range(30)) for i in tree.leaves()}
+    cost = costs.SubstitutionCost(tree, rows, models.make("HKY", [0.1, 0.3, 0.4, 0.2], [3.0]))
+    own = cost.cost()
+    for prune in tree.preorder():
+        if prune != tree.root and tree.parent[prune] != tree.root:
+            places = treelib.regraft_places(tree, prune)
+            plain = [costs.SubstitutionCost(treelib.spr(tree, prune, p), rows, cost.model).cost() for p in places]
+            assert [v for v, _ in cost.regraft_costs(prune, places)] == pytest.approx(plain, abs=1e-8)
+            for p, (value, b) in zip(places, cost.regraft_costs(prune, places, own), strict=True):
+                want, moved = optimise.regraft_cost(cost, own, prune, p)
+                assert value == pytest.approx(want, abs=1e-6)
+                assert b is None or moved.blen[p] == pytest.approx(b, rel=1e-3)
 
 
 def test_empirical_freqs():
