@@ -44,7 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = _made.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cladeworks-"))
     return folder
