@@ -90,6 +90,17 @@ ORACLES = {
       n AS (SELECT record_id, count(*) AS n FROM k GROUP BY record_id),
       b AS (SELECT a.record_id AS record_a, b.record_id AS record_b, count(*) AS s FROM k a JOIN k b ON a.t = b.t AND a.record_id < b.record_id GROUP BY ALL)
       SELECT record_a, record_b FROM b JOIN n x ON x.record_id = record_a JOIN n y ON y.record_id = record_b WHERE 3 * s >= x.n + y.n""",
+    "p3_groups": f"""WITH RECURSIVE {_REC},
+      tx AS MATERIALIZED (SELECT x, min(record_id) AS rep FROM rec WHERE length(x) >= 30 GROUP BY x),
+      k AS MATERIALIZED (SELECT DISTINCT rep, substr(x, i::INT, 8) AS t FROM (SELECT rep, x, unnest(range(1, length(x) - 6)) AS i FROM tx)),
+      n AS (SELECT rep, count(*) AS n FROM k GROUP BY rep),
+      b AS (SELECT a.rep AS a, b.rep AS b, count(*) AS s FROM k a JOIN k b ON a.t = b.t AND a.rep < b.rep GROUP BY ALL),
+      l AS MATERIALIZED (SELECT a, b FROM b JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 3 * s >= x.n + y.n),
+      both_ AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      reach AS (SELECT a AS rep, b AS other FROM both_ UNION SELECT r.rep, e.b FROM reach r JOIN both_ e ON e.a = r.other),
+      g AS (SELECT rep, least(rep, min(other)) AS label FROM reach GROUP BY rep), c AS (SELECT a AS rep, count(*) AS links FROM both_ GROUP BY a)
+      SELECT record_id, tx.rep, coalesce(label, tx.rep) AS group_id, coalesce(links, 0) AS links
+      FROM rec JOIN tx USING (x) LEFT JOIN g USING (rep) LEFT JOIN c USING (rep)""",
     "p4_found": f"{_TERMS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p4_terms": f"{_TERMS} SELECT term, occurrences, records, mark FROM m",
     "p5_found": f"{_SPANS} SELECT record_id, span_from, span_to FROM span",
