@@ -342,6 +342,32 @@ def test_two_leaves_have_a_closed_optimum():
     assert got.final == pytest.approx(18 * math.log(same / 4) + 2 * math.log(other / 4), abs=1e-4) and got.final >= got.initial
 
 
+@pytest.mark.parametrize("model", ["JC69", "HKY"])
+def test_a_branch_is_searched_without_walking_to_the_root(model, monkeypatch):
+    """The length that a search over the whole tree's cost finds, while partials move along branches a few times a branch."""
+    rng = random.Random(2)
+    text = "a0:.1"
+    for k in range(1, 40):
+        text = f"({text},a{k}:.2):.1"
+    tree = parse(text + ";")
+    rows = simulated(rng, tree, 40, models.make("JC69"))
+    cost = costs.SubstitutionCost(tree, rows, models.make(model))
+    for i in rng.sample([i for i in range(len(tree)) if i != tree.root], 5):
+        def at(b, i=i):
+            cost.set_blen(i, b)
+            return -cost.cost()
+
+        own = tree.blen[i]
+        want = optimise.brent(at, *optimise.branch_range(own))
+        cost.set_blen(i, own)
+        assert optimise.best_branch(cost, i) == pytest.approx((want[0], -want[1]), rel=1e-4, abs=1e-6)
+    moved = []
+    along = costs.SubstitutionCost._along
+    monkeypatch.setattr(costs.SubstitutionCost, "_along", lambda *a, **k: moved.append(1) or along(*a, **k))
+    got = optimise.optimise_branches(cost)
+    assert len(moved) <= got.rounds * len(tree) * 2 * 40 and got.final == pytest.approx(costs.SubstitutionCost(cost.tree, rows, cost.model).cost(), abs=1e-8)
+
+
 @pytest.mark.parametrize("name, params", [("K80", [2.0]), ("HKY", [1.0]), ("PIP-K80", [0.5, 0.5, 2.0])])
 def test_optima_are_stationary(name, params):
     rng = random.Random(1)
