@@ -434,6 +434,32 @@ def test_all_likelihood_regrafts_at_once(seed):
                 assert b is None or moved.blen[p] == pytest.approx(b, rel=1e-3)
 
 
+def test_minima_side_by_side():
+    """Many functions searched at once take the steps that each takes alone, and regraft places are searched so."""
+    rng = np.random.default_rng(3)
+    low, at, power = rng.uniform(0, 1, 40), rng.uniform(0, 3, 40), rng.uniform(1, 4, 40)
+    high = low + rng.uniform(0.5, 3, 40)
+    fs = [lambda x, k=k: math.inf if k == 7 else abs(x - at[k]) ** power[k] + 0.1 * math.sin(20 * x) * (k % 3 == 0) for k in range(40)]
+    x, fx = optimise.brent_many(lambda x, which: np.array([fs[k](float(v)) for v, k in zip(x, which, strict=True)]), low, high)
+    alone = [optimise.brent(f, a, b) for f, a, b in zip(fs, low.tolist(), high.tolist(), strict=True)]
+    assert x.tolist() == pytest.approx([a for a, _ in alone]) and fx.tolist() == pytest.approx([b for _, b in alone])
+
+
+def test_regraft_places_are_searched_together(monkeypatch):
+    rng = random.Random(5)
+    tree = random_tree(rng, 12)
+    rows = {tree.label[i]: "".join(rng.choice("TCAG") for _ in range(20)) for i in tree.leaves()}
+    monkeypatch.setattr(optimise, "brent", None)
+    cost = costs.SubstitutionCost(tree, rows, models.make("JC69"))
+    prune = next(i for i in tree.preorder() if i != tree.root and tree.parent[i] != tree.root)
+    places = treelib.regraft_places(tree, prune)
+    got = cost.regraft_costs(prune, places, 0.0)  # no place beats 0: every half branch is searched
+    for p, (value, b) in zip(places, got, strict=True):
+        moved = treelib.spr(tree, prune, p)
+        moved.blen[p] = moved.blen[p] if b is None else b
+        assert value == pytest.approx(costs.SubstitutionCost(moved, rows, cost.model).cost(), abs=1e-8)
+
+
 def test_empirical_freqs():
     got = costs.empirical_freqs(["AAG-", "R"], DNA)
     assert got == pytest.approx([1 / 6, 1 / 6, 2.5 / 6, 1.5 / 6])
