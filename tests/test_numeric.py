@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -342,6 +343,17 @@ def test_two_leaves_have_a_closed_optimum():
     assert got.final == pytest.approx(18 * math.log(same / 4) + 2 * math.log(other / 4), abs=1e-4) and got.final >= got.initial
 
 
+def test_long_pairs_are_aligned_by_antidiagonals():
+    """Cells one by one would take some 8 s."""
+    rng = random.Random(7)
+    text = "".join(rng.choice("TCAG") for _ in range(1500))
+    shorter = text[:700] + text[710:]
+    began = time.process_time()
+    out, scores = align(parse("(a:1,b:1);"), {"a": text, "b": shorter}, DNA, costs.SimpleScoring(1, 2.5, 0.5))
+    assert time.process_time() - began < 4
+    assert out["a"] == text and out["b"].replace("-", "") == shorter and sum(scores.values()) == 2.5 + 9 * 0.5
+
+
 @pytest.mark.parametrize("model", ["JC69", "HKY"])
 def test_a_branch_is_searched_without_walking_to_the_root(model, monkeypatch):
     """The length that a search over the whole tree's cost finds, while partials move along branches a few times a branch."""
