@@ -94,10 +94,14 @@ def blen_percentiles(current: DataFrame, k: int = 4) -> DataFrame:
 
 
 def leaf_descendants(nodes: DataFrame, current: DataFrame) -> DataFrame:
-    """(tree_id, node_id, label) of every node and each leaf at or below it, from the nodes' paths."""
-    paths = hierarchy(nodes).select("tree_id", F.explode("path").alias("above"), "node_id")
+    """(tree_id, node_id, label) of every node and each leaf at or below it, from the leaves' paths.
+
+    Paths are unfolded after the join only, and a merge join is asked for: Catalyst guesses paths to be as small as the
+    links that they are made from, and would collect them in the driver to broadcast them.
+    """
+    paths = hierarchy(nodes).select("tree_id", "node_id", "path")
     leaves = current.where("is_leaf").select("tree_id", "node_id", "label")
-    return paths.join(leaves, ["tree_id", "node_id"]).select("tree_id", F.col("above").alias("node_id"), "label")
+    return paths.hint("merge").join(leaves, ["tree_id", "node_id"]).select("tree_id", F.explode("path").alias("node_id"), "label")
 
 
 def relations(current: DataFrame) -> DataFrame:

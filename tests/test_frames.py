@@ -45,6 +45,14 @@ def test_distances_and_joining(spark):
     assert treelib.parse_newick(text)[0].leaf_set(8) == frozenset("abcde")
 
 
+def test_paths_of_leaves_do_not_pass_the_driver(spark):
+    """Paths are far larger than the links that the optimiser judges them by, so they must not be broadcast."""
+    found = entry.queries()["leaf_descendants"](spark, DATA)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_newick_files(spark, tmp_path):
     (tmp_path / "a.nwk").write_text("((A:1,B:2):1,C:3);\n(A:1,B:1);")
     (tmp_path / "b.nwk").write_text("((A:1;")
