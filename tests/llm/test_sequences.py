@@ -225,3 +225,19 @@ def test_hot_variant_loses_no_link(spark):
     reps = spark.createDataFrame(list(recs.items()), "rep long, letters string")
     want = near(recs)
     assert len(want) > 14 * 13 / 2 and {(r.a, r.b) for r in nd.links(reps, run_cap=8).collect()} == want
+
+
+def test_candidates_are_sifted_without_loss(spark):
+    """Bit maps keep every pair of the threshold's similarity, texts of any length and letters included, and drop others."""
+    rng = random.Random(11)
+    texts = []
+    for size in (30, 60, 200, 700, 3000):
+        text = "".join(rng.choice("ACGTé") for _ in range(size))
+        texts += [text, text[: size * 3 // 4], "".join(c if rng.random() > 0.03 else "N" for c in text), "".join(rng.choice("ACGT") for _ in range(size))]
+    texts += ["A" * 40, "A" * 400]
+    reps = spark.createDataFrame(list(enumerate(texts)), "rep long, letters string")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts))]
+    kept = {(r.a, r.b) for r in nd._may_link(spark.createDataFrame(pairs, "a long, b long"), reps, 0.5, 8).collect()}
+    terms = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
+    linked = {(a, b) for a, b in pairs if 2 * len(terms[a] & terms[b]) >= len(terms[a] | terms[b])}
+    assert len(linked) >= 10 and linked <= kept and len(kept) < len(pairs) / 2
