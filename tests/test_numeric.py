@@ -472,6 +472,60 @@ def test_regraft_places_are_searched_together(monkeypatch):
         assert value == pytest.approx(costs.SubstitutionCost(moved, rows, cost.model).cost(), abs=1e-8)
 
 
+@pytest.mark.parametrize("name, letters", [("K80", "TCAGY-"), ("HKY", "TCAG"), ("WAG", "ARNDCQEGHILKMFPSTWYV")])
+def test_places_that_cannot_win_are_not_searched(name, letters, monkeypatch):
+    """The best place is that of the search over all of them, and most are left out by their bounds."""
+    rng = random.Random(8)
+    tree = random_tree(rng, 14)
+    tree.blen = [rng.choice([0.0, 1e-6, 0.02, 0.3, 2.0, 40.0]) for _ in tree.blen]
+    rows = {tree.label[i]: "".join(rng.choice(letters) for _ in range(40)) for i in tree.leaves()}
+    cost = costs.SubstitutionCost(tree, rows, models.make(name, [0.1, 0.3, 0.4, 0.2] if name == "HKY" else None))
+    searched = []
+    plain = costs.SubstitutionCost._best_halves
+    monkeypatch.setattr(costs.SubstitutionCost, "_best_halves", lambda self, open_, out: (searched.append(len(open_)), plain(self, open_, out)))
+    own, counts, seen = cost.cost(), [0, 0], 0
+    for prune in tree.preorder():
+        if prune != tree.root and tree.parent[prune] != tree.root:
+            places = treelib.regraft_places(tree, prune)
+            for base in (own, -1e9, 0.0):
+                found = []
+                for k, least in enumerate((None, -math.inf)):
+                    searched.clear()
+                    found.append(max(v for v, _ in cost.regraft_costs(prune, places, base, least)))
+                    counts[k] += sum(searched)
+                best = found[0]
+                assert found[1] == pytest.approx(best, abs=1e-9)
+                for least in (best - 0.5, best + 0.5):
+                    got = max(v for v, _ in cost.regraft_costs(prune, places, base, least))
+                    assert got == pytest.approx(best, abs=1e-9) if least < best else got < least
+                seen += 1
+    assert seen and 0 < counts[1] < counts[0] / 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_results_of_untouched_nodes_outlast_a_move(seed, monkeypatch):
+    rng = random.Random(seed)
+    tree = random_tree(rng, 16)
+    rows = {tree.label[i]: "".join(rng.choice("TCAG-") for _ in range(25)) for i in tree.leaves()}
+    cost = costs.SubstitutionCost(tree, rows, models.make("HKY", [0.1, 0.3, 0.4, 0.2], [3.0]))
+    new, plain = [], costs.SubstitutionCost.node
+    monkeypatch.setattr(costs.SubstitutionCost, "node", lambda self, i: (new.append(i), plain(self, i))[1])
+    for _ in range(6):
+        prune = rng.choice([i for i in cost.tree.preorder() if i != cost.tree.root and cost.tree.parent[i] != cost.tree.root])
+        places = treelib.regraft_places(cost.tree, prune)
+        cost.regraft_costs(prune, places, 0.0)
+        optimise.go_on_with(cost, treelib.spr(cost.tree, prune, rng.choice(places)))
+        new.clear()
+        cost.cost()
+        assert len(new) < len(tree)
+        fresh = costs.SubstitutionCost(cost.tree.copy(), rows, cost.model)
+        for prune in cost.tree.preorder():
+            if prune != cost.tree.root and cost.tree.parent[prune] != cost.tree.root:
+                places = treelib.regraft_places(cost.tree, prune)
+                got, want = ([v for v, _ in c.regraft_costs(prune, places)] for c in (cost, fresh))
+                assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_empirical_freqs():
     got = costs.empirical_freqs(["AAG-", "R"], DNA)
     assert got == pytest.approx([1 / 6, 1 / 6, 2.5 / 6, 1.5 / 6])
