@@ -1,6 +1,7 @@
 """Sequence operators against brute force on small tables, hot paths included."""
 
 import datetime as dt
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -10,6 +11,7 @@ from cladeworks.llm import near_duplicates as nd
 from cladeworks.llm import shared_spans as ss
 from cladeworks.llm import term_frequencies as tf
 from cladeworks.operators.components import components
+from cladeworks.session import shared_folder
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "record_id long, residues string, loaded_at timestamp_ntz, letters string, rep long, key long, term string"
@@ -241,3 +243,23 @@ def test_candidates_are_sifted_without_loss(spark):
     terms = [{t[i : i + 8] for i in range(len(t) - 7)} for t in texts]
     linked = {(a, b) for a, b in pairs if 2 * len(terms[a] & terms[b]) >= len(terms[a] | terms[b])}
     assert len(linked) >= 10 and linked <= kept and len(kept) < len(pairs) / 2
+
+
+def test_variants_are_made_and_shuffled_in_parts(spark):
+    """Parts of the fingerprints have the variants of the whole, and leave no table but that of the candidates."""
+    rng = random.Random(5)
+    texts = family(rng, 12, 120, 6) + ["A" * n for n in range(30, 42)]
+    reps = spark.createDataFrame(list(enumerate(texts)), "rep long, letters string")
+    far = reps.selectExpr("rep * 5000000000 as rep", "letters")
+    keys = lambda x, some, n: sorted(
+        (r.part, k, w + r.base) for r in nd.emit(x, 3, some).collect() for k, w in zip(memoryview(r.keys).cast("I"), memoryview(r.reps).cast(n), strict=True)
+    )
+    whole = keys(reps, range(nd.FINGERPRINTS), "I")
+    assert len(whole) == len(texts) * 72 and whole == sorted(x for i in range(0, nd.FINGERPRINTS, 3) for x in keys(reps, range(i, i + 3), "I"))
+    assert [(p, k, w * 5000000000) for p, k, w in whole] == keys(far, range(nd.FINGERPRINTS), "Q")
+    pairs = [{tuple(r) for r in nd._meet_packed(nd.emit(reps, 3), cap, most).collect()} for cap in (8, 99) for most in (1 << 22, 40)]
+    assert pairs[2] == pairs[3] and {x[:2] for x in pairs[0]} == {x[:2] for x in pairs[1]} and pairs[0] != pairs[2]
+    tables = lambda: {f for f in os.listdir(shared_folder(spark)) if f.startswith("cladeworks-")}
+    before = tables()
+    met = nd.candidates(reps, 8)
+    assert len(tables() - before) == 1 and {tuple(r) for r in met.collect()} >= near(dict(enumerate(texts)))

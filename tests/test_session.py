@@ -1,8 +1,11 @@
 """Lineage cuts and the folder they are written to."""
 
+import os
+import time
 import types
 
 import pytest
+from pyspark.sql import functions as F
 
 from cladeworks import session
 
@@ -26,3 +29,18 @@ def test_cut_keeps_rows_and_types(spark):
     got = session.cut(df)
     assert got.schema.simpleString() == df.schema.simpleString() and sorted(map(str, got.collect())) == sorted(map(str, df.collect()))
     assert session.cut(df.limit(0)).count() == 0
+
+
+def test_cut_frees_its_shuffles_and_release_its_files(spark):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    written = lambda: {f for f in map(str, local.getAllFiles().mkString("|").split("|")) if "shuffle" in f}
+    before, setting = written(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    counted = session.cut(spark.range(20_000).groupBy((F.col("id") % 777).alias("k")).agg(F.count(F.lit(1)).alias("n")).repartition(4, "n"))
+    until = time.time() + 20
+    while written() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not written() - before and counted.count() == 777
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    (path,) = {os.path.dirname(f.removeprefix("file:")) for f in counted.inputFiles()}
+    session.release(counted)
+    assert not os.path.exists(path)
