@@ -21,6 +21,7 @@ from cladeworks.operators.tree_ops import links_of, tree_rows
 from cladeworks.tables import family_facts, one_per_name
 
 BLOCK = 128
+LETTERS = 1 << 18  # letters of the families that are aligned side by side
 
 
 def matched(seqs: DataFrame, current: DataFrame) -> DataFrame:
@@ -133,17 +134,29 @@ def whole_families(seqs: DataFrame, current: DataFrame) -> DataFrame:
 
 def per_family(families: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Rows of fn(tree, rows, alphabet) for every family with a binary tree, families spread evenly over tasks."""
+    return per_families(families, lambda some: [fn(*x) for x in some], schema, 1)
+
+
+def per_families(families: DataFrame, fn: Callable, schema: str, letters: int) -> DataFrame:
+    """Rows of fn for every family with a binary tree; fn gets lists of (tree, rows, alphabet), of at least that many
+    letters as far as a batch goes, and gives each one's rows."""
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            out, some, many = [], {}, 0
             for tree_id, alphabet, rows, nodes in zip(b["tree_id"], b["alphabet"], b["rows"], b["nodes"], strict=True):
                 try:
                     tree = treelib.from_links(links_of(nodes))
                 except ValueError:
                     continue
-                out += [(tree_id, *r) for r in fn(tree, {r["seq_id"]: r["residues"] for r in rows}, BY_NAME[alphabet])]
+                some[tree_id] = (tree, {r["seq_id"]: r["residues"] for r in rows}, BY_NAME[alphabet])
+                many += sum(len(r["residues"]) for r in rows)
+                if many >= letters or letters == 1:
+                    out += [(k, *r) for k, found in zip(some, fn([*some.values()]), strict=True) for r in found]
+                    some, many = {}, 0
+            if some:
+                out += [(k, *r) for k, found in zip(some, fn([*some.values()]), strict=True) for r in found]
             yield pd.DataFrame(out, columns=names)
 
     width = max(1, families.sparkSession.sparkContext.defaultParallelism * 4)
@@ -180,14 +193,14 @@ def aligned_rows(families: DataFrame, gap_open: float = 2.5, gap_ext: float = 0.
     """(tree_id, seq_id, residues, columns, score): the indel-aware progressive alignment of each family on its tree, or
     that of another aligner (with score 0)."""
 
-    def fn(tree, rows, alphabet):
+    def fn(families):
         if aligner is None:
-            out, scores = indel_align.align(tree, rows, alphabet, costs.SimpleScoring(1.0, gap_open, gap_ext))
+            found = indel_align.align_families(families, costs.SimpleScoring(1.0, gap_open, gap_ext))
         else:
-            out, scores = aligner.align(tree, rows, alphabet), {0: 0.0}
-        return [(k, v, len(v), sum(scores.values())) for k, v in sorted(out.items())]
+            found = [(aligner.align(*x), {0: 0.0}) for x in families]
+        return [[(k, v, len(v), sum(scores.values())) for k, v in sorted(out.items())] for out, scores in found]
 
-    return per_family(families, fn, "tree_id string, seq_id string, residues string, columns int, score double")
+    return per_families(families, fn, "tree_id string, seq_id string, residues string, columns int, score double", LETTERS)
 
 
 def optimised(families: DataFrame, what: str, dna: str = "K80", protein: str = "WAG", rounds: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 
 from cladeworks.functions import costs, models, optimise, treelib
 from cladeworks.functions.alphabet import DNA, PROTEIN
-from cladeworks.functions.indel_align import NONE, ParsimonyAligner, Prices, align, align_pair
+from cladeworks.functions.indel_align import NONE, ParsimonyAligner, Prices, align, align_families, align_pair, align_pairs
 
 
 def parse(text):
@@ -535,3 +535,25 @@ def test_single_leaf():
     t = parse("(a:0.3);")
     assert costs.SubstitutionCost(t, {"a": "ACGT"}, models.make("JC69")).cost() == pytest.approx(4 * np.log(0.25))
     assert costs.FitchCost(t, {"a": "ACGT"}, DNA).cost() == 0
+
+
+def test_alignments_side_by_side_are_those_of_one_at_a_time():
+    rng = random.Random(8)
+    families = []
+    for n in (2, 9, 5, 14):
+        base, rows = "".join(rng.choice("ACGT") for _ in range(rng.randrange(5, 70))), {}
+        for k in range(n):
+            at, more = rng.randrange(len(base)), rng.randrange(8)
+            rows[f"s{k}"] = base[:at] + "".join(rng.choice("ACGT") for _ in range(more)) + base[at + rng.randrange(9) :]
+        rows["s1"] = rows["s1"] if n % 2 else ""
+        forest = [f"{k}:{rng.random():.3f}" for k in rows]
+        while len(forest) > 1:
+            rng.shuffle(forest)
+            forest.append(f"({forest.pop()},{forest.pop()}):{rng.random():.3f}")
+        families.append((treelib.parse_newick(forest[0] + ";")[0], rows, DNA))
+    for rule in ("first", "last"):
+        scoring = costs.SimpleScoring(1, 2.5, 0.5)
+        assert align_families(families, scoring, rule) == [align(*x, scoring, rule) for x in families]
+        plain = [[(DNA.mask(c), NONE) for c in text] for _, rows, _ in families for text in rows.values()]
+        jobs = [(x, y, Prices(scoring, b, 1, 4)) for x, y, b in zip(plain, plain[1:], [0.1, 1, 3] * 9)]
+        assert align_pairs(jobs, rule) == [align_pair(*x, rule) for x in jobs]
